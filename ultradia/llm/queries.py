@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ultradia.llm import tokens
+from ultradia.llm import packing, tokens
+from ultradia.session import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +16,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_ids": p8_ids}
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their training context of 2,048 tokens."""
+    sizes = written(tokens.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text", only_count=True), "sizes")
+    return packing.pack(sizes, "doc_id", "n_tokens", 2048)
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_packed": p9_packed}
 ORACLE: dict[str, str] = {}
