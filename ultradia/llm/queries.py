@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ultradia.llm import packing, tokens
+from ultradia.llm import packing, residue, tokens
 from ultradia.session import written
 
 
@@ -22,5 +22,13 @@ def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", 2048)
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_packed": p9_packed}
+def p10_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents"), written)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_flags(spark, sf_dir).select("doc_id")
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_flags": p10_flags}
 ORACLE: dict[str, str] = {}
