@@ -107,9 +107,8 @@ def _any(parts: tuple[str, ...]) -> str:
 
 
 #: Where a sentence or line of its own begins.
-START = r"(?:^|[\n>.!?…:;)\]–—-] {0,2}|\n )"
+START = r"(?:^|[\n>.!?…:;)\]–—-]) {0,2}"
 INSIDE = r"[^\[\]<>{}\n*]{0,60}"
-_PHRASE = _any(INSTRUCTIONS).replace("(?:", "(?:", 1)
 
 
 def _bracketed() -> str:
