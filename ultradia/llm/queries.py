@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ultradia.llm import packing, residue, tokens
+from ultradia.llm import clusters, packing, residue, tokens
 from ultradia.session import written
 
 
@@ -12,6 +12,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+LIKENESS = ("night_sleep_mean_z", "total_sleep_mean_z", "p_wake_mean_z")
+
+
+def p7_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.similar_groups(table(spark, sf_dir, "features_z"), "feature_id", LIKENESS, 0.2, 5, written)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_members(spark, sf_dir).select("feature_id", "cluster_id")
+
+
+def p7_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group's size and most typical flies."""
+    return clusters.described(written(p7_members(spark, sf_dir), "members"), "feature_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -30,5 +46,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_flags(spark, sf_dir).select("doc_id")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_flags": p10_flags}
+QUERIES = {"p7_found": p7_found, "p7_clusters": p7_clusters, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_flags": p10_flags}
 ORACLE: dict[str, str] = {}
