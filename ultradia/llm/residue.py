@@ -48,7 +48,7 @@ DUMMY = (
 #: Dummy sentences (accents and commas off).
 FILLER = (
     "sample paragraph replace with", "this is placeholder copy", "placeholder text", "body copy goes here", "test test test", "dies ist ein blindtext", "blindtext fur", "hier steht spater",
-    "texte d.exemple a remplacer", "ceci est un (?:faux )?texte", "faux texte", "texte de remplissage", "texto de ejemplo sustituir", "texto de relleno", "este es un texto de", "aqui ira el texto", "beispieltext",
+    "texte d.exemple a remplacer", "ceci est un (?:faux[ -]?)?texte", "faux texte", "texte de remplissage", "texto de ejemplo sustituir", "texto de relleno", "este es un texto de", "aqui ira el texto", "beispieltext",
     "platzhaltertext", "ici viendra", "le discours viendra", "replace this text", "your text here", "asdf asdf", "qwert",
 )
 #: What a server answers.
@@ -129,14 +129,37 @@ ERROR_RE = (
 )
 TRACE_RE = _any(TRACES)
 NOTICE_RE = rf"{START}{_any(NOTICES)}"
-#: One of these must be in a text for any of the patterns to match: cheap tests that spare the rest.
-SIGNS = ("{", "[[", "[…", "<", "@@", "__", "***", "(s", ")s", "$")
+#: One of these must begin a word of a text for the patterns of filler, errors and notices to match.
 WORDS = (
-    "script", "skript", "js is", "browser", "navega", "cookie", "error", "erreur", "fehler", "exception", "traceback", "found", "unauthorized", "forbidden", "gone", "gateway", "unavailable", "disponible",
-    "requests", "introuvable", "encontrada", "gefunden", "denied", "denegad", "refus", "verweigert", "expire", "abgelaufen", "caducad", "upstream", "server", "database", "oops", "wrong", "dienst",
-    "lorem", "ipsum", "dolor", "venostra", "tempor", "sample", "placeholder", "body copy", "blindtext", "exemple", "faux texte", "texto de", "test test", "texte texte", "text text", "prueba prueba", "platzhalter",
-    "xxxx", "asdf", "qwert", "hier steht", "remplissage", "session", "sesi", "angeforderte", "page you", "timed out",
+    "script", "javascript", "noscript", "skript", "js is", "browser", "navega", "cookie", "error", "erreur", "fehler", "serverfehler", "exception", "java.", "traceback", "found", "unauthorized", "forbidden",
+    "gone", "gateway", "unavailable", "disponible", "indisponible", "requests", "introuvable", "encontrada", "gefunden", "denied", "denegad", "refus", "verweigert", "expire", "abgelaufen", "caducad", "upstream",
+    "server", "servidor", "serveur", "database", "datenbank", "oops", "wrong", "dienst", "lorem", "ipsum", "dolor", "venostra", "tempor", "sample", "placeholder", "copy", "blindtext", "exemple", "ejemplo",
+    "faux", "relleno", "beispieltext", "xxxx", "asdf", "qwert", "hier steht", "ici viendra", "remplissage", "session", "sesi", "angeforderte", "page you", "timed out", "fatal", "segmentation", "sqlstate",
+    "uncaught", "undefined", "replace this", "your text", "requested", "solicitad", "demand", "anfragen", "requ", "method", "bad request",
 )
+#: One of these must follow an opening square bracket for an instruction to be in it.
+STEMS = (
+    "insert", "enter", "fill in", "type here", "here", "confirm", "follow", "pending", "name", "title", "einf", "einsetz", "eintrag", "erg", "ausf", "folgt", "platzh", "ins", "compl", "venir", "indiqu", "saisir",
+    "nom de", "titre", "texte", "rellen", "aqu", "pendiente", "nombre", "tulo", "tbc", "tbd", "todo", "determin", "introduc", "added", "pr", "rempl",
+)
+
+
+def _either(words: tuple[str, ...]) -> str:
+    """The words as one expression that shares their beginnings, so that a text is passed once; a blank is any blanks."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for sign in word:
+            node = node.setdefault(sign, {})
+        node[""] = {}
+
+    def expression(node: dict) -> str:
+        if "" in node:
+            return ""
+        parts = [(r"[\s\x{a0}\x{2000}-\x{200a}]+" if c == " " else r"\." if c == "." else c) + expression(rest) for c, rest in sorted(node.items())]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return expression(tree)
 
 
 def evidence(documents: DataFrame) -> DataFrame:
@@ -145,16 +168,16 @@ def evidence(documents: DataFrame) -> DataFrame:
     Columns is_placeholder, is_filler, is_error, is_notice. Null and blank texts have no findings.
     Whole texts are looked at; the rules for form are by line and sentence, so length does not matter.
     """
-    low = F.lower(F.replace(F.replace(F.col("text"), F.lit("­"), F.lit("")), F.lit("-\n"), F.lit("")))
+    low = F.lower(F.replace(F.replace(F.col("text"), F.lit("\u00ad"), F.lit("")), F.lit("-\n"), F.lit("")))
     rows = documents.select("doc_id", "agenda_id", "agenda_item", "source", "text").withColumn("_low", low)
-    sign = F.lit(False)
-    for s in SIGNS:
-        sign = sign | F.contains(F.col("_low"), F.lit(s))
-    bracket = F.col("_low").rlike(r"[\[(]|%[a-z(]|\{")
-    word = F.lit(False)
-    for s in WORDS:
-        word = word | F.contains(F.col("_low"), F.lit(s))
-    rows = rows.withColumn("_sign", F.coalesce(sign | bracket, F.lit(False))).withColumn("_word", F.coalesce(word, F.lit(False)) | F.col("_low").rlike(r"([a-z]{4,})\W+\1\W+\1"))
+
+    def holds(x: str) -> Column:
+        return F.contains(F.col("_low"), F.lit(x))
+
+    # cheap tests that spare most texts the folding and the patterns: each pattern needs one of them
+    sign = holds("{") | holds("<") | holds("@@") | holds("__") | holds("***") | holds("[[") | holds("[…") | F.col("_low").rlike(r"%[a-z(]|\$[a-z{]") | F.col("_low").rlike(rf"\[[^\]\n]{{0,60}}{_either(STEMS)}")
+    word = F.col("_low").rlike(rf"\b{_either(WORDS)}") | holds("error:") | F.col("_low").rlike(r"\b([a-z]{4,}+)\W{1,3}\1\W{1,3}\1\b")
+    rows = rows.withColumn("_sign", F.coalesce(sign, F.lit(False))).withColumn("_word", F.coalesce(word, F.lit(False)))
     rows = rows.withColumn("body", F.when(F.col("_sign") | F.col("_word"), folded(F.col("text"))))
 
     def hit(gate: str, *patterns: str) -> Column:
