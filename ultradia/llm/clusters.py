@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 Written = Callable[[DataFrame, str], DataFrame]
 NEIGHBOURS = 6
 #: Neighbours of a point that one round of descent pairs with one another.
-PAIRED = 8
+PAIRED = 6
 
 
 def points_of(rows: DataFrame, key: str, coords: Sequence[str]) -> DataFrame:
@@ -58,23 +58,24 @@ def nearest(edges: DataFrame, k: int) -> DataFrame:
 def neighbour_graph(points: DataFrame, radius: float, written: Written, k: int = NEIGHBOURS, rounds: int = 2, share: int = 500) -> DataFrame:
     """u, v, d2 (both directions): up to k near points within the radius of each point, by neighbour descent.
 
-    It starts from chance neighbours: points of one grid cell in hashed order, on three shifted
-    grids; a cell with more than ``share`` points is divided into shares by hash. Each round pairs up to PAIRED
+    It starts from chance neighbours: those next to one another along one axis in a narrow column
+    of space, for each axis; a column with more than ``share`` points is divided into shares by hash. Each round pairs up to PAIRED
     neighbours of every point with one another and keeps each point's k nearest.
     """
     names = _names(points)
     here = F.struct("id", *names)
     found = None
-    for shift in range(3):
-        side = radius * (1.0, 0.75, 0.5)[shift]
-        cell = [F.floor((F.col(n) + shift * side / 3) / side).alias(f"c{i}") for i, n in enumerate(names)]
+    for shift in range(max(3, len(names))):
+        along = shift % len(names)
+        sides = [radius * (4 if i == along else 0.5) for i in range(len(names))]
+        cell = [F.floor((F.col(n) + shift * side / 3) / side).alias(f"c{i}") for i, (n, side) in enumerate(zip(names, sides))]
         keyed = points.select("id", *names, *cell)
         cs = [f"c{i}" for i in range(len(names))]
         sizes = keyed.groupBy(*cs).agg(F.count(F.lit(1)).alias("_n"))
         salted = keyed.join(sizes, cs).withColumn("_salt", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.expr(f"_n div {share}"))))
-        w = Window.partitionBy(*cs, "_salt").orderBy(F.xxhash64("id", F.lit(shift)))
-        ahead = salted.select(here.alias("a"), F.lead(here, 1).over(w).alias("b1"), F.lead(here, 2).over(w).alias("b2"))
-        pairs = ahead.select("a", F.explode(F.array("b1", "b2")).alias("b")).where("b is not null")
+        w = Window.partitionBy(*cs, "_salt").orderBy(names[along], "id")
+        ahead = salted.select(here.alias("a"), F.lead(here, 1).over(w).alias("b1"), F.lead(here, 2).over(w).alias("b2"), F.lead(here, 3).over(w).alias("b3"))
+        pairs = ahead.select("a", F.explode(F.array("b1", "b2", "b3")).alias("b")).where("b is not null")
         found = pairs if found is None else found.unionByName(pairs)
 
     def graph(pairs: DataFrame) -> DataFrame:
@@ -148,11 +149,13 @@ def components(edges: DataFrame, written: Written, most: int = 40) -> DataFrame:
     Each turn hangs nodes on smaller ones; the number of turns grows with the logarithm of the
     longest path. Only two numbers a turn reach the driver.
     """
-    def sign(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
+        # the two numbers are taken while the links are written
+        seen = Observation()
+        out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "links")
+        return out, (seen.get["n"], seen.get["sum"])
 
-    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = sign(now)
+    now, before = kept(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most):
         if not before[0]:
             break
@@ -162,8 +165,7 @@ def components(edges: DataFrame, written: Written, most: int = 40) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(low, "a")
         small = hung.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(hung.select("a", F.col("m").alias("b")))
-        now = written(small.where("a != b").distinct(), "links")
-        after = sign(now)
+        now, after = kept(small.where("a != b").distinct())
         if after == before:
             break
         before = after
