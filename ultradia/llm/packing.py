@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ultradia.session import written
+
 #: Combinations are of at most three lengths; lengths of the third kind are spaced so that at most this many arise.
 MOST_COMBINATIONS = 6000
 
@@ -145,27 +147,25 @@ def pieces(items: DataFrame, key: str, length: str, capacity: int) -> DataFrame:
     return cut.select(key, "piece", start.alias("token_start"), F.least(F.lit(capacity).cast("long"), F.col("_n") - start).alias("n_tokens"))
 
 
-def pack(items: DataFrame, key: str, length: str, capacity: int = 2048, salts: int = 64) -> DataFrame:
+def pack(items: DataFrame, key: str, length: str, capacity: int = 2048, salts: int = 16) -> DataFrame:
     """Every piece with its container: key, piece, token_start, n_tokens, container_id, container_start.
 
     Items longer than the capacity are cut at multiples of it, no others; items of length 0 or null
     take no room and have null container_id and container_start. The pieces of a container lie one after the other from
     container_start 0. ``items`` is read twice (the histogram, the assignment), so give a written
     table. Keys that repeat are separate items. A length that most items share is ranked in
-    ``salts`` shares, whose sizes (at most capacity x salts numbers) give each share its first rank.
+    ``salts`` shares, whose sizes (at most capacity x salts rows) give each share its first rank.
     No items, no rows.
     """
     spark = items.sparkSession
     placed = pieces(items, key, length, capacity).withColumn("_salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
     shares = placed.where("n_tokens > 0").groupBy("n_tokens", "_salt").agg(F.count(F.lit(1)).alias("n"))
-    counts = {(r["n_tokens"], r["_salt"]): r["n"] for r in shares.collect()}
-    histogram: Counter = Counter()
-    firsts = []
-    for (size, salt), n in sorted(counts.items()):
-        firsts.append((int(size), int(salt), histogram[size]))
-        histogram[size] += n
+    upto = Window.partitionBy("n_tokens").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    where_first = shares.withColumn("_first", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    where_first = written(where_first, "shares")
+    histogram = {int(r["n_tokens"]): int(r["n"]) for r in where_first.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}
     rows = layout(plan_kinds(histogram, capacity))
-    where_first = _table(spark, firsts, "n_tokens long, _salt int, _first long")
+    where_first = where_first.drop("n")
     where_to = _table(spark, rows, "n_tokens long, _from long, _end long, _each long, _container long")
     rank = F.row_number().over(Window.partitionBy("n_tokens", "_salt").orderBy(key, "piece")) - 1
     sized = placed.where("n_tokens > 0").withColumn("_in", rank).join(F.broadcast(where_first), ["n_tokens", "_salt"])
