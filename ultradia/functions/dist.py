@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def upper_gamma(a: float, x: float) -> float:
@@ -55,16 +56,16 @@ def incomplete_beta(x: float, a: float, b: float) -> float:
     return front * h / a
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2))).astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([np.nan if pd.isna(a) or pd.isna(d) or d <= 0 else upper_gamma(d / 2, a / 2) for a, d in zip(x, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_tail(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([np.nan if pd.isna(v) or a <= 0 or b <= 0 else incomplete_beta(b / (b + a * v), b / 2, a / 2) for v, a, b in zip(x, d1, d2)])

@@ -408,7 +408,7 @@ dminutes AS (SELECT a.experiment_id, a.fly_id, a.blk, a.exp_day, a.lights_on, a.
   CAST(floor(((hour(g.m) + minute(g.m) / 60.0 - a.lights_on) % 24 + 24) % 24) AS INTEGER) AS zt, CASE WHEN g.m = a.minute THEN a.value ELSE 0 END AS value
   FROM ahead a, LATERAL (SELECT unnest(generate_series(a.minute, coalesce(a.nxt - INTERVAL 1 MINUTE, a.minute), INTERVAL 1 MINUTE)) AS m) g), flagged AS"""
 
-_SLEEP = RUNS.replace(", flagged AS", _DENSE).replace("FROM minutes)", "FROM dminutes)") + """, sized AS (SELECT *, count(*) OVER (PARTITION BY experiment_id, fly_id, blk, run) AS len FROM islands),
+_SLEEP = RUNS.replace("FROM minutes)", "FROM dminutes)").replace(", flagged AS", _DENSE) + """, sized AS (SELECT *, count(*) OVER (PARTITION BY experiment_id, fly_id, blk, run) AS len FROM islands),
 s0 AS (SELECT *, z AND len >= 5 AS asleep, zt < 12 AS is_day FROM sized),
 s1 AS (SELECT *, lag(asleep) OVER w AS before, row_number() OVER w AS rn FROM s0 WINDOW w AS (PARTITION BY experiment_id, fly_id, blk ORDER BY minute)),
 s2 AS (SELECT *, sum(CASE WHEN asleep AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER w AS bout, sum(CASE WHEN NOT asleep AND coalesce(before, true) THEN 1 ELSE 0 END) OVER w AS wake,
