@@ -39,6 +39,12 @@ def features_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(flies(spark, sf_dir).select("fly_id", *clean.GROUP), "fly_id", "left")
 
 
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the models read: keys, genotype and z columns, written once, so that each pass of a fit is a plain scan."""
+    z = features_z(spark, sf_dir)
+    return written(z.select("feature_id", "genotype", *clean.feature_columns(z, "_z")), "model-rows")
+
+
 def long_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.long_features(features_z(spark, sf_dir), TESTED, "genotype")
 
@@ -267,7 +273,7 @@ def m_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1, L2: five components of all z columns and each row's scores."""
-    z = clean.without_nan(table(spark, sf_dir, "features_z"))
+    z = model_rows(spark, sf_dir)
     scores, _, _ = ml.principal_components(z, clean.feature_columns(z, "_z"), 5)
     return scores.select("feature_id", *[r6(f"pc{i}") for i in range(1, 6)])
 
@@ -275,7 +281,7 @@ def m_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m_pca_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summed squared loadings of the first components beside the forest's importances, ranked side by side."""
-    z = features_z(spark, sf_dir)
+    z = model_rows(spark, sf_dir)
     cols = clean.feature_columns(z, "_z")
     _, _, loadings = ml.principal_components(z, cols, 8)
     _, important = ml.forest(z.where("genotype is not null"), cols, "genotype", "feature_id", trees=20, depth=6)
@@ -287,7 +293,7 @@ def m_pca_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genotype from the z columns: held-out measures."""
-    z = features_z(spark, sf_dir).where("genotype is not null")
+    z = model_rows(spark, sf_dir).where("genotype is not null")
     tested, _ = ml.forest(z, clean.feature_columns(z, "_z"), "genotype", "feature_id", trees=20, depth=6)
     return ml.class_measures(tested, "genotype")
 
@@ -302,7 +308,7 @@ def m_near_death(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reports.join(died, SOURCE, "left").withColumn("near", F.coalesce(F.datediff("died", "report_date").between(0, 2), F.lit(False)).cast("int"))
     measures = ["total_activity", "longest_zero_hours", "missing_fraction"]
     filled = rows.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in measures})
-    got = ml.boosted(filled, measures, "near", "fly_id", rounds=10, depth=3)
+    got = ml.boosted(written(filled.select("fly_id", "near", *measures), "reports"), measures, "near", "fly_id", rounds=10, depth=3)
     return ml.class_measures(got, "near")
 
 
