@@ -11,44 +11,18 @@ different groups are compared.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-Written = Callable[[DataFrame, str], DataFrame]
+from ultradia.operators.linking import Written, axis_names, distance2, linked_groups, points_of
+
 NEIGHBOURS = 6
 #: Neighbours of a point that one round of descent pairs with one another.
 PAIRED = 6
 
 
-def points_of(rows: DataFrame, key: str, coords: Sequence[str]) -> DataFrame:
-    """id (smallest key of the point), p0, p1, ...: one row per distinct point, n rows each; null or NaN in any coordinate: left out."""
-    ps = [F.col(c).cast("double") for c in coords]
-    ok = F.col(key).isNotNull()
-    for c in ps:
-        ok = ok & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e300)
-    names = [f"p{i}" for i in range(len(coords))]
-    return (
-        rows.where(ok)
-        .select(F.col(key).cast("long").alias("id"), *[(c + F.lit(0.0)).alias(n) for c, n in zip(ps, names)])
-        .groupBy(*names)
-        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    )
-
-
-def _names(points: DataFrame) -> list[str]:
-    return sorted(c for c in points.columns if c.startswith("p") and c[1:].isdigit())
-
-
-def _distance2(a: str, b: str, names: Sequence[str]) -> Column:
-    total = F.lit(0.0)
-    for n in names:
-        d = F.col(f"{a}.{n}") - F.col(f"{b}.{n}")
-        total = total + d * d
-    return total
-
-
 def nearest(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest of each u; ties by v."""
     w = Window.partitionBy("u").orderBy("d2", "v")
@@ -62,7 +36,7 @@ def neighbour_graph(points: DataFrame, radius: float, written: Written, k: int =
     of space, for each axis; a column with more than ``share`` points is divided into shares by hash. Each round pairs up to PAIRED
     neighbours of every point with one another and keeps each point's k nearest.
     """
-    names = _names(points)
+    names = axis_names(points)
     here = F.struct("id", *names)
     found = None
     for shift in range(max(3, len(names))):
@@ -79,7 +53,7 @@ def neighbour_graph(points: DataFrame, radius: float, written: Written, k: int =
         found = pairs if found is None else found.unionByName(pairs)
 
     def graph(pairs: DataFrame) -> DataFrame:
-        close = pairs.withColumn("d2", _distance2("a", "b", names)).where(F.col("d2") <= radius * radius)
+        close = pairs.withColumn("d2", distance2("a", "b", names)).where(F.col("d2") <= radius * radius)
         both = close.select("a", "b", "d2").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "d2"))
         return nearest(both.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), "a", "b", "d2").dropDuplicates(["u", "v"]), k)
 
@@ -143,98 +117,6 @@ def communities(points: DataFrame, graph: DataFrame, radius: float, written: Wri
     return written(points.select("id").join(both, "id", "left").select("id", F.coalesce("c2", "c", "id").alias("c")), "communities")
 
 
-def components(edges: DataFrame, written: Written, most: int = 40) -> DataFrame:
-    """id, root (smallest id of its component) of every node of the edges a, b: large star and small star in turn.
-
-    Each turn hangs nodes on smaller ones; the number of turns grows with the logarithm of the
-    longest path. Only two numbers a turn reach the driver.
-    """
-    def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
-        # the two numbers are taken while the links are written
-        seen = Observation()
-        out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "links")
-        return out, (seen.get["n"], seen.get["sum"])
-
-    now, before = kept(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(most):
-        if not before[0]:
-            break
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(low, "a")
-        small = hung.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(hung.select("a", F.col("m").alias("b")))
-        now, after = kept(small.where("a != b").distinct())
-        if after == before:
-            break
-        before = after
-    roots = now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots)
-
-
-def _relabelled(labels: DataFrame, links: DataFrame, written: Written) -> DataFrame:
-    """labels id, c with c replaced by the root of its component over links a, b."""
-    roots = components(links, written).select(F.col("id").alias("c"), "root")
-    return written(labels.join(roots, "c", "left").select("id", F.coalesce("root", "c").alias("c")), "groups")
-
-
-def linked_groups(points: DataFrame, graph: DataFrame, labels: DataFrame, radius: float, written: Written) -> DataFrame:
-    """id, c: the exact groups of points that chains of pairs within the radius join.
-
-    1. Communities are joined along the edges of the graph, and where they share a grid cell of
-       side radius / sqrt(dimensions): any two of its points are within the radius.
-    2. Cells of different groups that may reach one another are compared, first by one point of
-       each of at most 8 ^ dimensions parts of a cell (which joins dense neighbours at little cost), then, where
-       still apart, by all their points that lie within the radius of the other cell. The largest
-       group's cells are only ever compared with those of other groups.
-    """
-    names = _names(points)
-    dims = len(names)
-    side = radius / dims**0.5 * (1 - 1e-12)
-    cs = [f"c{i}" for i in range(dims)]
-    at = points.select("id", *names, *[F.floor(F.col(n) / side).alias(c) for n, c in zip(names, cs)])
-    placed = at.join(labels, "id")
-    first = placed.groupBy(*cs).agg(F.min("c").alias("b"))
-    same_cell = placed.select(*cs, "c").distinct().join(first, cs).select(F.col("c").alias("a"), "b")
-    edges = graph.join(labels.select(F.col("id").alias("u"), F.col("c").alias("a")), "u").join(labels.select(F.col("id").alias("v"), F.col("c").alias("b")), "v").select("a", "b")
-    groups = _relabelled(labels, same_cell.unionByName(edges.where("a != b").distinct()), written)
-
-    wide = 2 * radius
-    for finest in (False, True):
-        full = written(at.join(groups, "id").withColumn("_part", F.xxhash64(*[F.floor(F.col(n) * 8 / side) for n in names])), "cells")
-        cells = full.groupBy(*cs).agg(F.min("c").alias("c"), *[F.min(n).alias(f"low{i}") for i, n in enumerate(names)], *[F.max(n).alias(f"high{i}") for i, n in enumerate(names)])
-        top = cells.groupBy("c").count().orderBy(F.desc("count"), "c").limit(1).collect()
-        if not top:
-            return groups
-        # a cell is looked up in every wide cell that its surroundings touch
-        spans = [F.sequence(F.floor((F.col(f"low{i}") - radius) / wide), F.floor((F.col(f"high{i}") + radius) / wide)) for i in range(dims)]
-        asking = cells.where(F.col("c") != top[0]["c"]).select(F.struct(*cells.columns).alias("x"), *[s.alias(f"s{i}") for i, s in enumerate(spans)])
-        for i in range(dims):
-            asking = asking.withColumn(f"w{i}", F.explode(f"s{i}"))
-        held = cells.select(F.struct(*cells.columns).alias("y"), *[F.sequence(F.floor(F.col(f"low{i}") / wide), F.floor(F.col(f"high{i}") / wide)).alias(f"s{i}") for i in range(dims)])
-        for i in range(dims):
-            held = held.withColumn(f"w{i}", F.explode(f"s{i}"))
-        gap2 = F.lit(0.0)
-        for i in range(dims):
-            g = F.greatest(F.lit(0.0), F.col(f"x.low{i}") - F.col(f"y.high{i}"), F.col(f"y.low{i}") - F.col(f"x.high{i}"))
-            gap2 = gap2 + g * g
-        ws = [f"w{i}" for i in range(dims)]
-        near = asking.select("x", *ws).join(held.select("y", *ws), ws).where((F.col("x.c") != F.col("y.c")) & (gap2 <= radius * radius * (1 + 1e-9))).select("x", "y").distinct()
-        who = full if finest else full.groupBy(*cs, "_part").agg(F.min_by(F.struct("id", "c", *names), "id").alias("q")).select(*cs, "q.*")
-        box2 = F.lit(0.0)
-        for i, n in enumerate(names):
-            g = F.greatest(F.lit(0.0), F.col(f"y.low{i}") - F.col(n), F.col(n) - F.col(f"y.high{i}"))
-            box2 = box2 + g * g
-        left = near.select("x", "y", *[F.col(f"x.{c}").alias(c) for c in cs]).join(who, cs).where(box2 <= radius * radius * (1 + 1e-9))
-        a = left.select(F.struct("c", *names).alias("a"), *[F.col(f"y.{c}").alias(c) for c in cs])
-        b = who.select(F.struct("c", *names).alias("b"), *cs)
-        pairs = a.join(b, cs).where((F.col("a.c") != F.col("b.c")) & (_distance2("a", "b", names) <= radius * radius))
-        links = written(pairs.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct(), "links")
-        groups = _relabelled(groups, links, written)
-    return groups
-
-
 def similar_groups(rows: DataFrame, key: str, coords: Sequence[str], radius: float, least: int, written: Written) -> DataFrame:
     """One row per row of the input in a group of at least ``least`` rows: key, cluster_id, community, internal_degree.
 
@@ -255,7 +137,7 @@ def similar_groups(rows: DataFrame, key: str, coords: Sequence[str], radius: flo
         .groupBy(F.col("u").alias("id"))
         .agg(F.sum(F.exp(-F.col("d2") / F.lit((radius / 2) ** 2)) * F.col("n")).alias("edges"))
     )
-    names = _names(points)
+    names = axis_names(points)
     known = (
         points.join(groups, "id")
         .join(sizes.select("c", "cluster_id", "size"), "c")

@@ -178,7 +178,7 @@ def evidence(documents: DataFrame) -> DataFrame:
     sign = holds("{") | holds("<") | holds("@@") | holds("__") | holds("***") | holds("[[") | holds("[…") | F.col("_low").rlike(r"%[a-z(]|\$[a-z{]") | F.col("_low").rlike(rf"\[[^\]\n]{{0,60}}{_either(STEMS)}")
     word = F.col("_low").rlike(rf"\b{_either(WORDS)}") | holds("error:") | F.col("_low").rlike(r"\b([a-z]{4,}+)\W{1,3}\1\W{1,3}\1\b")
     rows = rows.withColumn("_sign", F.coalesce(sign, F.lit(False))).withColumn("_word", F.coalesce(word, F.lit(False)))
-    rows = rows.withColumn("body", F.when(F.col("_sign") | F.col("_word"), folded(F.col("text"))))
+    rows = rows.withColumn("body", F.when(F.col("_sign") | F.col("_word") | (F.length("text") <= 400), folded(F.col("text"))))
 
     def hit(gate: str, *patterns: str) -> Column:
         found = F.lit(False)
