@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Written = Callable[[DataFrame, str], DataFrame]
@@ -46,10 +46,8 @@ def components(edges: DataFrame, written: Written, most: int = 40) -> DataFrame:
     longest path. Only two numbers a turn reach the driver.
     """
     def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
-        # the two numbers are taken while the links are written
-        seen = Observation()
-        out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "links")
-        return out, (seen.get["n"], seen.get["sum"])
+        out = written(df, "links")
+        return out, tuple(out.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     now, before = kept(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most):

@@ -49,5 +49,5 @@ def lines_between(spark: SparkSession, path: str, load_date: str, days: int, off
     text = spark.read.text(path)
     parts = F.split("value", "\t")
     at = F.try_to_timestamp(F.concat_ws(" ", F.get(parts, F.lit(1)), F.get(parts, F.lit(2))), F.lit("d MMM yy HH:mm:ss"))
-    start = F.timestamp_add("HOUR", F.lit(24 * offset_days + hour), F.to_timestamp(F.lit(load_date), F.lit("MM/dd/yy")))
+    start = F.timestamp_add("HOUR", F.lit(24 * offset_days + hour), F.to_timestamp(F.lit(load_date), "MM/dd/yy"))
     return text.where((at >= start) & (at < F.timestamp_add("DAY", F.lit(days), start)))
