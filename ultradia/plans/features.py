@@ -122,12 +122,12 @@ def a_genotype_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_z(spark, sf_dir).groupBy(F.col("grp").alias("genotype"), "feature").agg(r6(F.avg("value"), "mean_z"), F.count(F.lit(1)).alias("n"))
 
 
-@query(LONG + "SELECT grp, feature, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, count(*) AS n FROM long GROUP BY 1, 2")
+@query(LONG + "SELECT grp, feature, round(quantile_cont(value, 0.5), 8) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 8) AS iqr, count(*) AS n FROM long GROUP BY 1, 2")
 def a_group_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and quartile range per group and feature, from counts by value."""
     counts = long_z(spark, sf_dir).groupBy("grp", "feature", "value").agg(F.count(F.lit(1)).alias("_n"))
     q = counts.groupBy("grp", "feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("q"), F.sum("_n").alias("n"))
-    return q.select("grp", "feature", r6(F.col("q")[1], "median"), r6(F.col("q")[2] - F.col("q")[0], "iqr"), "n")
+    return q.select("grp", "feature", F.round(F.col("q")[1], 8).alias("median"), F.round(F.col("q")[2] - F.col("q")[0], 8).alias("iqr"), "n")
 
 
 @query(BASE + "SELECT treatment, genotype, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY treatment), 6) AS percent FROM fly WHERE genotype IS NOT NULL GROUP BY 1, 2")
