@@ -42,7 +42,7 @@ def test_long_lines_empty_tables_and_files_without_header(spark):
 
 def deck(spark, rows):
     df = spark.createDataFrame(rows, "fly string, a string, b string, o int, v double, donor_scope string")
-    return {r.fly: r for r in hotdeck.hot_deck(df.drop("donor_scope"), "fly", ["a", "b"], "o", "v").collect()}
+    return {r.fly: r for r in hotdeck.hot_deck(df, "fly", ["a", "b"], "o", "v").collect()}
 
 
 def test_nearest_donor(spark):

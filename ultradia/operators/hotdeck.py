@@ -22,7 +22,8 @@ def hot_deck(records: DataFrame, record: str, levels: Sequence[str], order: str,
     record), donor_scope (0: same narrowest group, 1: same group one level wider, ...), distance
     (difference in order within the narrowest group, else null). Of two equally near donors the
     earlier one gives. Without any donor in the whole table the value stays null and was_filled is
-    false. Null group keys are a group of their own. No records, no rows.
+    false. Null group keys are a group of their own. Columns of the input named like a result are
+    replaced by it. No records, no rows.
     """
     keys = [f"_k{i}" for i in range(len(levels))]
     base = records.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(keys, levels)})
@@ -57,8 +58,9 @@ def hot_deck(records: DataFrame, record: str, levels: Sequence[str], order: str,
     inside = F.when(F.col("_next").isNull() | (back <= ahead), F.col("_prev")).otherwise(F.col("_next"))
     missing = F.col(value).isNull()
     got = own.withColumn("_in", inside).join(outside, keys, "left").withColumn("_got", F.coalesce("_in", "_out"))
+    results = {"filled_value", "was_filled", "donor", "donor_scope", "distance"}
     return got.select(
-        *records.columns,
+        *[c for c in records.columns if c not in results],
         F.coalesce(F.col(value), F.col("_got.v")).alias("filled_value"),
         (missing & F.col("_got").isNotNull()).alias("was_filled"),
         F.when(missing, F.col("_got.r")).alias("donor"),
