@@ -12,6 +12,7 @@ from ultradia.operators import badrows, death, health, prepared, rhythm, runs, s
 from ultradia.operators.prepared import DAY
 from ultradia.operators.readings import SOURCE, counted_readings, day_stamp, stamp
 from ultradia.plans.sql import BASE, DAILY, RUNS, cosinor
+from ultradia.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -600,3 +601,49 @@ def k_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC2: the metadata lines as a typed table with fly ids."""
     good = badrows.split_lines(table(spark, sf_dir, "details"))[0]
     return good.withColumn("fly_id", T.fly_id(F.col("monitor"), F.col("channel")))
+
+
+@query("SELECT health_report_id, status, total_activity FROM (SELECT *, row_number() OVER (PARTITION BY experiment_id, fly_id, report_date ORDER BY health_report_id DESC) AS rn FROM health_reports) WHERE rn = 1")
+def k_latest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2, SNK3, SRC7: the upserted reports: one per source and date, the last to arrive."""
+    latest = store.latest_by_key(table(spark, sf_dir, "health_reports"), [*SOURCE, "report_date"], "health_report_id")
+    return latest.select("health_report_id", "status", "total_activity")
+
+
+@query(
+    """WITH dead AS (SELECT DISTINCT experiment_id, fly_id FROM health_reports WHERE status = 'Dead')
+SELECT experiment_id, count(*) AS n, count(DISTINCT fly_id) AS flies FROM readings r WHERE NOT EXISTS (SELECT 1 FROM dead d WHERE d.experiment_id = r.experiment_id AND d.fly_id = r.fly_id) GROUP BY 1"""
+)
+def k_without_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK7, F11: readings left after all rows of dead flies are removed."""
+    dead = table(spark, sf_dir, "health_reports").where("status = 'Dead'")
+    left = store.without_flies(table(spark, sf_dir, "readings"), dead)
+    return left.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fly_id").alias("flies"))
+
+
+@query(
+    """WITH rows AS (SELECT fly_id, experiment_id FROM features), other AS (SELECT fly_id, experiment_id FROM features_z)
+SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM rows INTERSECT SELECT * FROM other) UNION ALL SELECT 'first only', count(*) FROM (SELECT * FROM rows EXCEPT SELECT * FROM other)
+UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM rows UNION SELECT * FROM other)"""
+)
+def k_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set operations of the inventory: sources in both feature tables, in the first only, in either."""
+    a, b = (table(spark, sf_dir, t).select("fly_id", "experiment_id") for t in ("features", "features_z"))
+    parts = {"both": a.intersect(b), "first only": a.subtract(b), "either": a.union(b).distinct()}
+    out = None
+    for name, df in parts.items():
+        n = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query(
+    BASE
+    + """SELECT genotype, count(*) FILTER (WHERE status = 'Alive') AS alive, count(*) FILTER (WHERE status = 'Unhealthy') AS unhealthy, count(*) FILTER (WHERE status = 'Dead') AS dead, count(*) FILTER (WHERE status = 'QC_Fail') AS qc_fail
+FROM health_reports LEFT JOIN fly USING (fly_id) GROUP BY 1"""
+)
+def a_status_by_genotype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A18, pivot: statuses of the reports by genotype, with the values of the pivot given."""
+    per = table(spark, sf_dir, "health_reports").groupBy("fly_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    wide = prepared.with_flies(per, flies(spark, sf_dir)).groupBy("genotype").pivot("status", ["Alive", "Unhealthy", "Dead", "QC_Fail"]).agg(F.sum("n")).na.fill(0)
+    return wide.select("genotype", F.col("Alive").alias("alive"), F.col("Unhealthy").alias("unhealthy"), F.col("Dead").alias("dead"), F.col("QC_Fail").alias("qc_fail"))
