@@ -134,10 +134,10 @@ WORDS = (
     "script", "javascript", "noscript", "skript", "js is", "browser", "navega", "cookie", "error", "erreur", "fehler", "serverfehler", "exception", "java.", "traceback", "found", "unauthorized", "forbidden",
     "gone", "gateway", "unavailable", "disponible", "indisponible", "requests", "introuvable", "encontrada", "gefunden", "denied", "denegad", "refus", "verweigert", "expire", "abgelaufen", "caducad", "upstream",
     "server", "servidor", "serveur", "database", "datenbank", "oops", "wrong", "dienst", "lorem", "ipsum", "dolor", "venostra", "tempor", "sample", "placeholder", "copy", "blindtext", "exemple", "ejemplo",
-    "faux", "relleno", "beispieltext", "xxxx", "asdf", "qwert", "hier steht", "ici viendra", "remplissage", "session", "sesi", "angeforderte", "page you", "timed out", "fatal", "segmentation", "sqlstate",
-    "uncaught", "undefined", "replace this", "your text", "requested", "solicitad", "demand", "anfragen", "requ", "method", "bad request",
+    "faux texte", "faux-texte", "relleno", "beispieltext", "xxxx", "asdf", "qwert", "hier steht", "ici viendra", "remplissage", "session", "su sesi", "angeforderte", "page you", "timed out", "fatal", "segmentation", "sqlstate",
+    "uncaught", "undefined", "replace this", "your text", "requested", "solicitad", "demand", "anfragen", "requires", "trop de requ", "demasiadas", "method", "bad request",
 )
-#: One of these must follow an opening square bracket for an instruction to be in it.
+#: One of these must follow an opening bracket for an instruction to be in it.
 STEMS = (
     "insert", "enter", "fill in", "type here", "here", "confirm", "follow", "pending", "name", "title", "einf", "einsetz", "eintrag", "erg", "ausf", "folgt", "platzh", "ins", "compl", "venir", "indiqu", "saisir",
     "nom de", "titre", "texte", "rellen", "aqu", "pendiente", "nombre", "tulo", "tbc", "tbd", "todo", "determin", "introduc", "added", "pr", "rempl",
@@ -175,7 +175,10 @@ def evidence(documents: DataFrame) -> DataFrame:
         return F.contains(F.col("_low"), F.lit(x))
 
     # cheap tests that spare most texts the folding and the patterns: each pattern needs one of them
-    sign = holds("{") | holds("<") | holds("@@") | holds("__") | holds("***") | holds("[[") | holds("[…") | F.col("_low").rlike(r"%[a-z(]|\$[a-z{]") | F.col("_low").rlike(rf"\[[^\]\n]{{0,60}}{_either(STEMS)}")
+    sign = F.lit(False)
+    for mark in ("{{", "{%", "${", "#{", "<%", "<html", "<!", "@@", "__", "***", "[[", "[…"):
+        sign = sign | holds(mark)
+    sign = sign | F.col("_low").rlike(r"%[a-z(]|\$[a-z]|\{[0-9]") | F.col("_low").rlike(rf"[\[<{{][^\]>}}\n]{{0,60}}{_either(STEMS)}")
     word = F.col("_low").rlike(rf"\b{_either(WORDS)}") | holds("error:") | F.col("_low").rlike(r"\b([a-z]{4,}+)\W{1,3}\1\W{1,3}\1\b")
     rows = rows.withColumn("_sign", F.coalesce(sign, F.lit(False))).withColumn("_word", F.coalesce(word, F.lit(False)))
     rows = rows.withColumn("body", F.when(F.col("_sign") | F.col("_word") | (F.length("text") <= 400), folded(F.col("text"))))
