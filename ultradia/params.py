@@ -14,14 +14,9 @@ class Params:
     excluded_days: tuple[int, ...] = (1, 7)
     ref_day: int = 4
     transition_window_min: int = 10
-    dead_zero_min: int = 1440
-    no_startle_zero_min: int = 720
-    low_activity: float = 50.0
-    max_sleep_min: float = 1368.0
     max_missing: float = 0.10
     decline_threshold: float = 0.5
     death_threshold: float = 0.2
-    immobility_hours: int = 24
     window_hours: int = 6
     min_data_hours: int = 3
 
