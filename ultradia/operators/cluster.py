@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ultradia.operators.linking import axis_names, distance2, linked_groups, points_of
@@ -44,38 +44,36 @@ def dbscan(rows: DataFrame, key: str, coords: Sequence[str], eps: float, min_sam
     return mine.join(known, names).select(key, "cluster")
 
 
-def centroid_measures(rows: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
-    """One row: n, clusters, calinski_harabasz, davies_bouldin over rows with a label and all columns; null with fewer than two clusters.
+def centroid_measures(rows: DataFrame, label: str, vector: str) -> DataFrame:
+    """One row: n, clusters, calinski_harabasz, davies_bouldin over rows with a label and a whole vector; null with fewer than two clusters.
 
-    One aggregate for the centroids (one row per cluster), one pass for the mean distances to them; only centroids are compared with one another.
+    All dimensions count: a vector that is shorter than the longest, or has a null or NaN in it, is left out. Centroids come from one
+    aggregate per label and dimension, the mean distances to them from a second pass; only centroids are compared with one another.
     """
-    ok = rows.where(F.col(label).isNotNull()).dropna(subset=list(columns))
-    stats = ok.groupBy(F.col(label).alias("g")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)])
-    k = range(len(columns))
+    labelled = rows.where(F.col(label).isNotNull()).select(F.col(label).alias("g"), F.transform(vector, lambda x: x.cast("double")).alias("x"))
+    longest = labelled.agg(F.max(F.size("x")).alias("_size"))
+    ok = labelled.crossJoin(F.broadcast(longest)).where((F.size("x") == F.col("_size")) & ~F.exists("x", lambda x: x.isNull() | F.isnan(x))).select("g", "x")
 
-    def total(f):
-        out = F.lit(0.0)
-        for i in k:
-            out = out + f(i)
-        return out
+    def apart(a: str, b: str) -> Column:
+        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
-    far = ok.join(stats.select(F.col("g").alias(label), *[f"m{i}" for i in k]), label)
-    spread = far.groupBy(F.col(label).alias("g")).agg(F.avg(F.sqrt(total(lambda i: F.pow(F.col(columns[i]) - F.col(f"m{i}"), F.lit(2))))).alias("s"))
-    centers = stats.join(spread, "g")
-    a = centers.select(F.col("g").alias("ga"), F.col("s").alias("sa"), *[F.col(f"m{i}").alias(f"a{i}") for i in k])
-    b = centers.select(F.col("g").alias("gb"), F.col("s").alias("sb"), *[F.col(f"m{i}").alias(f"b{i}") for i in k])
-    apart = F.sqrt(total(lambda i: F.pow(F.col(f"a{i}") - F.col(f"b{i}"), F.lit(2))))
-    worst = a.join(b, F.col("ga") != F.col("gb")).groupBy("ga").agg(F.max(F.try_divide(F.col("sa") + F.col("sb"), apart)).alias("r"))
+    parts = ok.select("g", F.posexplode("x").alias("i", "x")).groupBy("g", "i").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+    centers = parts.groupBy("g").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("m"), F.sum("v").alias("v"))
+    spread = ok.join(centers.select("g", "m"), "g").groupBy("g").agg(F.avg(apart("x", "m")).alias("s"))
+    known = centers.join(spread, "g")
+    a, b = (known.select(F.col("g").alias(f"g{k}"), F.col("s").alias(f"s{k}"), F.col("m").alias(f"m{k}")) for k in "ab")
+    worst = a.join(b, F.col("ga") != F.col("gb")).groupBy("ga").agg(F.max(F.try_divide(F.col("sa") + F.col("sb"), apart("ma", "mb"))).alias("r"))
     db = worst.agg(F.avg("r").alias("davies_bouldin"))
-    grand = stats.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("clusters"), *[(F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n")).alias(f"g{i}") for i in k])
-    sums = stats.crossJoin(F.broadcast(grand)).agg(
-        F.max("all").alias("n"),
-        F.max("clusters").alias("clusters"),
-        F.sum(F.col("n") * total(lambda i: F.pow(F.col(f"m{i}") - F.col(f"g{i}"), F.lit(2)))).alias("between"),
-        F.sum(F.col("n") * total(lambda i: F.col(f"v{i}"))).alias("within"),
-    )
+    grand = parts.groupBy("i").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
+    off = F.col("m") - F.col("grand")
+    between = parts.join(grand, "i").agg(F.sum(F.col("n") * off * off).alias("between"))
+    sums = centers.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"), F.sum(F.col("n") * F.col("v")).alias("within"))
     ch = F.try_divide(F.col("between") * (F.col("n") - F.col("clusters")), F.col("within") * (F.col("clusters") - 1))
-    return sums.crossJoin(db).select("n", "clusters", F.when(F.col("clusters") >= 2, ch).alias("calinski_harabasz"), F.when(F.col("clusters") >= 2, F.col("davies_bouldin")).alias("davies_bouldin"))
+    return (
+        sums.crossJoin(between)
+        .crossJoin(db)
+        .select("n", "clusters", F.when(F.col("clusters") >= 2, ch).alias("calinski_harabasz"), F.when(F.col("clusters") >= 2, F.col("davies_bouldin")).alias("davies_bouldin"))
+    )
 
 
 def knee_of(distances: DataFrame, value: str) -> DataFrame:

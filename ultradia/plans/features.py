@@ -242,13 +242,6 @@ def s_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # clusters and models -----------------------------------------------------------------------------
 
-_EMB = [f"e{i}" for i in range(8)]
-
-
-def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_EMB)])
-
-
 @query(
     "WITH x AS (SELECT label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)) + " FROM embeddings WHERE label IS NOT NULL), c AS (SELECT label, count(*) AS n, "
     + ", ".join(f"avg(e{i}) AS m{i}, var_pop(e{i}) AS v{i}" for i in range(8)) + " FROM x GROUP BY 1), g AS (SELECT " + ", ".join(f"avg(e{i}) AS g{i}" for i in range(8)) + " FROM x), "
@@ -259,7 +252,7 @@ def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def m_cluster_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of the labels of the embeddings."""
-    m = cluster.centroid_measures(embedded(spark, sf_dir), "label", _EMB)
+    m = cluster.centroid_measures(table(spark, sf_dir, "embeddings"), "label", "embedding")
     return m.select("n", "clusters", F.round("calinski_harabasz", 4).alias("calinski_harabasz"), F.round("davies_bouldin", 4).alias("davies_bouldin"))
 
 
