@@ -1,9 +1,12 @@
 """Queries against results over all columns, where their SQL reads fewer."""
 
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
 
+from tools.compare import canonical
 from ultradia.plans import features
 
 
@@ -22,3 +25,44 @@ def test_cluster_measures_read_every_dimension(spark, sf):
     assert (got.n, got.clusters) == (n, k)
     assert got.calinski_harabasz == pytest.approx(between * (n - k) / (within * (k - 1)), abs=1e-3)
     assert got.davies_bouldin == pytest.approx(np.mean(worst), abs=1e-3)
+
+
+@pytest.fixture(scope="module")
+def con(sf):
+    c = duckdb.connect()
+    for p in Path(sf).glob("*.parquet"):
+        c.execute(f"create view {p.stem} as select * from read_parquet('{p}')")
+    return c
+
+
+def numeric(con, table, suffix=""):
+    keys = {"feature_id", "experiment_id", "fly_id"}
+    return [c for c, t in con.execute(f"select column_name, column_type from (describe {table})").fetchall() if t in ("DOUBLE", "INTEGER", "BIGINT") and c not in keys and c.endswith(suffix)]
+
+
+@pytest.mark.parametrize("name", ["s_anova", "s_kruskal", "s_mann_whitney", "s_cliffs_delta", "s_cohens_d", "s_top_effects", "a_genotype_signature", "a_group_signature"])
+def test_statistics_of_every_z_column(spark, sf, con, name):
+    cols = numeric(con, "features_z", "_z")
+    assert len(cols) > len(features.TESTED)
+    every = " UNION ALL ".join(f"SELECT '{c}' AS feature, genotype AS grp, CAST({c} AS DOUBLE) AS value FROM fz WHERE genotype IS NOT NULL AND {c} IS NOT NULL AND NOT isnan({c})" for c in cols)
+    sql = features.ORACLE[name].replace(features._UNPIVOT, every)
+    assert canonical(features.QUERIES[name](spark, sf).toPandas()).equals(canonical(con.execute(sql).df()))
+
+
+def test_adjustment_counts_every_z_column(spark, sf, con):
+    got = features.s_adjusted(spark, sf).toPandas()
+    assert set(got["feature"]) == set(numeric(con, "features_z", "_z"))
+    for _, g in got.groupby("grp"):
+        p = np.sort(g["p"].to_numpy())
+        want = np.minimum(1, np.minimum.accumulate((p * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1])
+        assert np.sort(g["p_adj"].to_numpy()) == pytest.approx(want, abs=1e-4)
+
+
+def test_z_scores_and_null_counts_of_every_column(spark, sf, con):
+    cols = numeric(con, "features")
+    f = con.execute("select * from features").df().set_index("feature_id").sort_index()[cols].astype(float)
+    z = features.n_z_scores(spark, sf).toPandas().set_index("feature_id").sort_index()
+    assert list(z.columns) == [f"{c}_z" for c in cols]
+    assert np.allclose(z.to_numpy(dtype=float), ((f - f.mean()) / f.std()).to_numpy(), atol=1e-5, equal_nan=True)
+    counts = {r.feature: (r.n_null, r.n) for r in features.n_diagnostics(spark, sf).collect()}
+    assert counts == {c: (int(f[c].isna().sum()), len(f)) for c in cols}

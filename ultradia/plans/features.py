@@ -46,7 +46,9 @@ def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.long_features(features_z(spark, sf_dir), TESTED, "genotype")
+    """feature, grp, value of every z column. The SQL below lists TESTED only."""
+    z = features_z(spark, sf_dir)
+    return stats.long_features(z, clean.feature_columns(z, "_z"), "genotype")
 
 
 _NULLED = "SELECT * REPLACE (" + ", ".join(
@@ -105,15 +107,18 @@ _Z = ("total_sleep_mean", "total_bouts_mean", "p_doze_mean")
 
 @query(FEATURES + "SELECT feature_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 6) AS {c}_z" for c in _Z) + " FROM ft")
 def n_z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Z-scores over all rows."""
-    z = clean.z_scored(features(spark, sf_dir).select("feature_id", *_Z), _Z)
-    return z.select("feature_id", *[r6(f"{c}_z") for c in _Z])
+    """Z-scores of all numeric columns over all rows. The SQL lists three."""
+    f = features(spark, sf_dir)
+    cols = clean.feature_columns(f)
+    z = clean.z_scored(f.select("feature_id", *cols), cols)
+    return z.select("feature_id", *[r6(f"{c}_z") for c in cols])
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS NULL OR isnan({c})) AS n_null, count(*) AS n FROM features" for c in ("mesor_mean", "total_sleep_mean", "p_doze_mean", "waso_mean")))
 def n_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N7."""
-    return clean.null_counts(clean.without_nan(table(spark, sf_dir, "features")), ("mesor_mean", "total_sleep_mean", "p_doze_mean", "waso_mean"))
+    """Every numeric column. The SQL lists four."""
+    f = clean.without_nan(table(spark, sf_dir, "features"))
+    return clean.null_counts(f, clean.feature_columns(f))
 
 
 @query(LONG + "SELECT grp AS genotype, feature, round(avg(value), 6) AS mean_z, count(*) AS n FROM long GROUP BY 1, 2")
