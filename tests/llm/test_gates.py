@@ -1,0 +1,18 @@
+"""Listed phrases that no cheap test may keep from their pattern."""
+
+from pyspark.sql import functions as F
+
+from ultradia.llm import residue
+
+PHRASES = [
+    "Sed magna aliqua nullam veniam", "[placeholder]", "<placeholder text>", "{placeholder}", "Platzhaltertext", "Aquí irá el texto", "Este es un texto de", "Le discours viendra",
+    "Ceci est un texte", "Connection reset", "408 Request Timeout", "HTTP 500", "Votre session a expiré", "Votre ses​sion a expiré", "[[conﬁrm: to be conﬁrmed]]",
+]
+
+
+def test_listed_phrases_are_found_in_long_texts(spark):
+    speech = "I thank the rapporteur for this report on harbour dredging. " * 20
+    rows = [(i, f"{speech}\n{p}", "plenary", f"AI-{i}", "Debate") for i, p in enumerate(PHRASES)] + [(99, speech, "plenary", "AI-99", "Debate")]
+    found = residue.evidence(spark.createDataFrame(rows, "doc_id long, text string, source string, agenda_id string, agenda_item string"))
+    flagged = found.where(F.col("is_placeholder") | F.col("is_filler") | F.col("is_error") | F.col("is_notice"))
+    assert {r.doc_id for r in flagged.select("doc_id").collect()} == set(range(len(PHRASES)))

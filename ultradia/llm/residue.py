@@ -129,37 +129,8 @@ ERROR_RE = (
 )
 TRACE_RE = _any(TRACES)
 NOTICE_RE = rf"{START}{_any(NOTICES)}"
-#: One of these must begin a word of a text for the patterns of filler, errors and notices to match.
-WORDS = (
-    "script", "javascript", "noscript", "skript", "js is", "browser", "navega", "cookie", "error", "erreur", "fehler", "serverfehler", "exception", "java.", "traceback", "found", "unauthorized", "forbidden",
-    "gone", "gateway", "unavailable", "disponible", "indisponible", "requests", "introuvable", "encontrada", "gefunden", "denied", "denegad", "refus", "verweigert", "expire", "abgelaufen", "caducad", "upstream",
-    "server", "servidor", "serveur", "database", "datenbank", "oops", "wrong", "dienst", "lorem", "ipsum", "dolor", "venostra", "tempor", "sample", "placeholder", "copy", "blindtext", "exemple", "ejemplo",
-    "faux texte", "faux-texte", "relleno", "beispieltext", "xxxx", "asdf", "qwert", "hier steht", "ici viendra", "remplissage", "session", "su sesi", "angeforderte", "page you", "timed out", "fatal", "segmentation", "sqlstate",
-    "uncaught", "undefined", "replace this", "your text", "requested", "solicitad", "demand", "anfragen", "requires", "trop de requ", "demasiadas", "method", "bad request",
-)
-#: One of these must follow an opening bracket for an instruction to be in it.
-STEMS = (
-    "insert", "enter", "fill in", "type here", "here", "confirm", "follow", "pending", "name", "title", "einf", "einsetz", "eintrag", "erg", "ausf", "folgt", "platzh", "ins", "compl", "venir", "indiqu", "saisir",
-    "nom de", "titre", "texte", "rellen", "aqu", "pendiente", "nombre", "tulo", "tbc", "tbd", "todo", "determin", "introduc", "added", "pr", "rempl",
-)
-
-
-def _either(words: tuple[str, ...]) -> str:
-    """The words as one expression that shares their beginnings, so that a text is passed once; a blank is any blanks."""
-    tree: dict = {}
-    for word in words:
-        node = tree
-        for sign in word:
-            node = node.setdefault(sign, {})
-        node[""] = {}
-
-    def expression(node: dict) -> str:
-        if "" in node:
-            return ""
-        parts = [(r"[\s\x{a0}\x{2000}-\x{200a}]+" if c == " " else r"\." if c == "." else c) + expression(rest) for c, rest in sorted(node.items())]
-        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
-
-    return expression(tree)
+#: Every pattern of template syntax and of instructions in brackets has one of these signs, and folding makes none of them.
+SIGN_RE = r"[\[<{%$@_*]"
 
 
 def evidence(documents: DataFrame) -> DataFrame:
@@ -168,27 +139,15 @@ def evidence(documents: DataFrame) -> DataFrame:
     Columns is_placeholder, is_filler, is_error, is_notice. Null and blank texts have no findings.
     Whole texts are looked at; the rules for form are by line and sentence, so length does not matter.
     """
-    low = F.lower(F.replace(F.replace(F.col("text"), F.lit("\u00ad"), F.lit("")), F.lit("-\n"), F.lit("")))
-    rows = documents.select("doc_id", "agenda_id", "agenda_item", "source", "text").withColumn("_low", low)
-
-    def holds(x: str) -> Column:
-        return F.contains(F.col("_low"), F.lit(x))
-
-    # cheap tests that spare most texts the folding and the patterns: each pattern needs one of them
-    sign = F.lit(False)
-    for mark in ("{{", "{%", "${", "#{", "<%", "<html", "<!", "@@", "__", "***", "[[", "[…"):
-        sign = sign | holds(mark)
-    sign = sign | F.col("_low").rlike(r"%[a-z(]|\$[a-z]|\{[0-9]") | F.col("_low").rlike(rf"[\[<{{][^\]>}}\n]{{0,60}}{_either(STEMS)}")
-    word = F.col("_low").rlike(rf"\b{_either(WORDS)}") | holds("error:") | F.col("_low").rlike(r"\b([a-z]{4,}+)\W{1,3}\1\W{1,3}\1\b")
-    rows = rows.withColumn("_sign", F.coalesce(sign, F.lit(False))).withColumn("_word", F.coalesce(word, F.lit(False)))
-    rows = rows.withColumn("body", F.when(F.col("_sign") | F.col("_word") | (F.length("text") <= 400), folded(F.col("text"))))
-
-    def hit(gate: str, *patterns: str) -> Column:
+    rows = documents.select("doc_id", "agenda_id", "agenda_item", "source", "text").withColumn("body", folded(F.col("text")))
+
+    def hit(*patterns: str) -> Column:
         found = F.lit(False)
         for p in patterns:
             found = found | F.col("body").rlike(p)
-        return F.coalesce(F.when(F.col(gate), found), F.lit(False))
+        return F.coalesce(found, F.lit(False))
 
+    sign = F.coalesce(F.col("text").rlike(SIGN_RE), F.lit(False))
     return rows.select(
         "doc_id",
         "agenda_id",
@@ -196,10 +155,10 @@ def evidence(documents: DataFrame) -> DataFrame:
         "source",
         "text",
         "body",
-        hit("_sign", SYNTAX_RE, BRACKET_RE).alias("is_placeholder"),
-        hit("_word", FILLER_RE).alias("is_filler"),
-        (hit("_word", ERROR_RE, TRACE_RE) | hit("_sign", "<html|<!doctype")).alias("is_error"),
-        hit("_word", NOTICE_RE).alias("is_notice"),
+        (sign & hit(SYNTAX_RE, BRACKET_RE)).alias("is_placeholder"),
+        hit(FILLER_RE).alias("is_filler"),
+        hit(ERROR_RE, TRACE_RE).alias("is_error"),
+        hit(NOTICE_RE).alias("is_notice"),
     )
 
 
