@@ -1,5 +1,6 @@
 """Queries against results over all columns, where their SQL reads fewer."""
 
+import random
 from pathlib import Path
 
 import duckdb
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 
 from tools.compare import canonical
+from ultradia.operators import hotdeck
 from ultradia.plans import features
 
 
@@ -66,3 +68,30 @@ def test_z_scores_and_null_counts_of_every_column(spark, sf, con):
     assert np.allclose(z.to_numpy(dtype=float), ((f - f.mean()) / f.std()).to_numpy(), atol=1e-5, equal_nan=True)
     counts = {r.feature: (r.n_null, r.n) for r in features.n_diagnostics(spark, sf).collect()}
     assert counts == {c: (int(f[c].isna().sum()), len(f)) for c in cols}
+
+
+def test_wider_donors_are_the_nearest_by_order(spark):
+    rng = random.Random(7)
+    rows = [(f"f{i:03d}", rng.choice("xy"), rng.choice("mnopq"), rng.randrange(1, 33), float(i) if rng.random() < 0.15 else None) for i in range(80)] + [("g", "z", "r", 9, None)]
+    got = {r.fly: r for r in hotdeck.hot_deck(spark.createDataFrame(rows, "fly string, a string, b string, o int, v double"), "fly", ["a", "b"], "o", "v", nearest_outside=True).collect()}
+    scopes = set()
+    for fly, a, b, o, v in rows:
+        if v is not None:
+            assert not got[fly].was_filled
+            continue
+        donors = [r for r in rows if r[4] is not None]
+        near = next(d for d in ([r for r in donors if r[1:3] == (a, b)], [r for r in donors if r[1] == a], donors) if d)
+        scope = 0 if near[0][1:3] == (a, b) and all(r[1:3] == (a, b) for r in near) else 1 if all(r[1] == a for r in near) else 2
+        assert got[fly].distance == min(abs(r[3] - o) for r in near) and got[fly].donor_scope == scope
+        assert abs(next(r[3] for r in near if r[0] == got[fly].donor) - o) == got[fly].distance
+        scopes.add(scope)
+    assert scopes == {0, 1, 2} or scopes == {0, 2}
+
+
+def test_fields_take_the_nearest_fly_of_another_group(spark):
+    strains = spark.createDataFrame([("Wt-A",), ("Obd",), ("Cyc",)], "genotype string")
+    known = [("M1_Ch01", "Cyc", 10.0), ("M1_Ch20", "Obd", None), ("M1_Ch21", "Wt-A", 30.0)]
+    flies = spark.createDataFrame([(f, 1, g, "F", "VEH") for f, g, _ in known], "fly_id string, experiment_id int, genotype string, sex string, treatment string")
+    features_ = spark.createDataFrame([(i, 1, f, 0.5, v) for i, (f, _, v) in enumerate(known)], "feature_id long, experiment_id int, fly_id string, p_doze_mean double, total_sleep_mean double")
+    got = hotdeck.filled_fields(features_, flies, strains).where("was_missing").collect()
+    assert [(r.fly_id, r.donor, r.donor_scope, r.distance) for r in got] == [("M1_Ch20", "M1_Ch21", 1, 1.0)]

@@ -8,13 +8,52 @@ so no window ever holds more than a group of records or the groups of one parent
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hot_deck(records: DataFrame, record: str, levels: Sequence[str], order: str, value: str) -> DataFrame:
+def _first_found(found: DataFrame, at: Sequence[str], depths: int) -> DataFrame:
+    """at, _out (donor of the narrowest level that has one), _scope."""
+    outs = [f"_out{d}" for d in range(depths, 0, -1)]
+    scope = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(i + 1)) for i, c in enumerate(outs)])
+    return found.select(*at, F.coalesce(*outs).alias("_out"), scope.alias("_scope"))
+
+
+def _nearest_outside(base: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Donor of every group and order from the wider levels, from the first and last donor per parent group and distinct order."""
+    ends = base.groupBy(*keys, "_o").agg(F.min("_donor").alias("_first"), F.max("_donor").alias("_last"))
+    outside = ends.select(*keys, "_o")
+    for depth in range(len(keys), 0, -1):
+        parent = keys[: depth - 1]
+        ends = ends.groupBy(*parent, "_o").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+        before = Window.partitionBy(*parent).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+        after = Window.partitionBy(*parent).orderBy(F.desc("_o")).rowsBetween(Window.unboundedPreceding, -1)
+        here = ends.withColumn("_prev", F.last("_last", ignorenulls=True).over(before)).withColumn("_next", F.last("_first", ignorenulls=True).over(after))
+        back, ahead = F.col("_o") - F.col("_prev.o"), F.col("_next.o") - F.col("_o")
+        near = F.when(F.col("_next").isNull() | (back <= ahead), F.col("_prev")).otherwise(F.col("_next"))
+        outside = outside.join(here.select(*parent, "_o", F.coalesce("_first", near).alias(f"_out{depth}")), [*parent, "_o"], "left")
+    return _first_found(outside, [*keys, "_o"], len(keys))
+
+
+def _neighbour_group(base: DataFrame, keys: Sequence[str], nearest: Callable[..., Column]) -> DataFrame:
+    """Donor of every group from the group before or after it, from the first and last donor per group."""
+    groups = base.groupBy(*keys).agg(F.min("_donor").alias("_first"), F.max("_donor").alias("_last"))
+    outside: DataFrame | None = None
+    for depth in range(len(keys), 0, -1):
+        parent, child = keys[: depth - 1], keys[depth - 1]
+        here = groups.withColumn("_prev", nearest(parent, [child], "_last", True)).withColumn("_next", nearest(parent, [child], "_first", False))
+        found = here.select(*keys[:depth], F.coalesce("_prev", "_next").alias(f"_out{depth}"))
+        outside = found if outside is None else outside.join(found, keys[:depth], "left")
+        groups = groups.groupBy(*parent).agg(
+            F.min_by("_first", F.when(F.col("_first").isNotNull(), F.col(child))).alias("_first"),
+            F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col(child))).alias("_last"),
+        )
+    return _first_found(outside, keys, len(keys))
+
+
+def hot_deck(records: DataFrame, record: str, levels: Sequence[str], order: str, value: str, nearest_outside: bool = False) -> DataFrame:
     """Fill ``value`` where it is null.
 
     ``levels`` are nested group columns from wide to narrow, ``order`` a number by which records of
@@ -22,7 +61,9 @@ def hot_deck(records: DataFrame, record: str, levels: Sequence[str], order: str,
     record), donor_scope (0: same narrowest group, 1: same group one level wider, ...), distance
     (difference in order within the narrowest group, else null). Of two equally near donors the
     earlier one gives. Without any donor in the whole table the value stays null and was_filled is
-    false. Null group keys are a group of their own. Columns of the input named like a result are
+    false. With ``nearest_outside`` the wider levels also take the donor nearest by ``order`` (of
+    equal ones the earlier, of the same order the first record) and give its distance; without it
+    they take the last donor of the group before. Null group keys are a group of their own. Columns of the input named like a result are
     replaced by it. No records, no rows.
     """
     keys = [f"_k{i}" for i in range(len(levels))]
@@ -36,28 +77,15 @@ def hot_deck(records: DataFrame, record: str, levels: Sequence[str], order: str,
         w = Window.partitionBy(*parts).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
         return F.last(what, ignorenulls=True).over(w)
 
-    groups = base.groupBy(*keys).agg(F.min("_donor").alias("_first"), F.max("_donor").alias("_last"))
-    outside: DataFrame | None = None
-    for depth in range(len(keys), 0, -1):
-        parent, child = keys[: depth - 1], keys[depth - 1]
-        here = groups.withColumn("_prev", nearest(parent, [child], "_last", True)).withColumn("_next", nearest(parent, [child], "_first", False))
-        found = here.select(*keys[:depth], F.coalesce("_prev", "_next").alias(f"_out{depth}"))
-        outside = found if outside is None else outside.join(found, keys[:depth], "left")
-        groups = groups.groupBy(*parent).agg(
-            F.min_by("_first", F.when(F.col("_first").isNotNull(), F.col(child))).alias("_first"),
-            F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col(child))).alias("_last"),
-        )
-    outs = [f"_out{d}" for d in range(len(keys), 0, -1)]
-    outside = outside.select(
-        *keys,
-        F.coalesce(*outs).alias("_out"),
-        F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(i + 1)) for i, c in enumerate(outs)]).alias("_scope"),
-    )
+    if nearest_outside:
+        outside, joint = _nearest_outside(base, keys), [*keys, "_o"]
+    else:
+        outside, joint = _neighbour_group(base, keys, nearest), keys
     own = base.withColumn("_prev", nearest(keys, ["_o", "_r"], "_donor", True)).withColumn("_next", nearest(keys, ["_o", "_r"], "_donor", False))
     back, ahead = F.col("_o") - F.col("_prev.o"), F.col("_next.o") - F.col("_o")
     inside = F.when(F.col("_next").isNull() | (back <= ahead), F.col("_prev")).otherwise(F.col("_next"))
     missing = F.col(value).isNull()
-    got = own.withColumn("_in", inside).join(outside, keys, "left").withColumn("_got", F.coalesce("_in", "_out"))
+    got = own.withColumn("_in", inside).join(outside, joint, "left").withColumn("_got", F.coalesce("_in", "_out"))
     results = {"filled_value", "was_filled", "donor", "donor_scope", "distance"}
     return got.select(
         *[c for c in records.columns if c not in results],
@@ -65,7 +93,7 @@ def hot_deck(records: DataFrame, record: str, levels: Sequence[str], order: str,
         (missing & F.col("_got").isNotNull()).alias("was_filled"),
         F.when(missing, F.col("_got.r")).alias("donor"),
         F.when(missing & F.col("_got").isNotNull(), F.when(F.col("_in").isNotNull(), 0).otherwise(F.col("_scope"))).alias("donor_scope"),
-        F.when(missing & F.col("_in").isNotNull(), F.abs(F.col("_in.o") - F.col("_o"))).alias("distance"),
+        F.when(missing, F.abs(F.col("_got.o" if nearest_outside else "_in.o") - F.col("_o"))).alias("distance"),
     )
 
 
@@ -106,7 +134,7 @@ def filled_fields(features: DataFrame, flies: DataFrame, strains: DataFrame) ->
         .groupBy(*by_fly)
         .agg(F.min("strain").alias("strain"), F.lower(F.substring(F.min(F.trim("sex")), 1, 1)).alias("sex"), F.min(F.trim("treatment")).alias("treatment"))
     )
-    genotypes = hot_deck(known.select(*by_fly, "strain", *place), "fly_id", ["experiment_id", "monitor"], "channel", "strain")
+    genotypes = hot_deck(known.select(*by_fly, "strain", *place), "fly_id", ["experiment_id", "monitor"], "channel", "strain", nearest_outside=True)
 
     def common(df: DataFrame, field: str, value: str) -> DataFrame:
         return df.select(
@@ -128,5 +156,5 @@ def filled_fields(features: DataFrame, flies: DataFrame, strains: DataFrame) ->
     rows = per_fly.join(alike, "fly_id", "left").select(*by_fly, "p_doze_mean", "total_sleep_mean", "alike", *place)
     out = common(genotypes, "genotype", "strain")
     for field in ("p_doze_mean", "total_sleep_mean"):
-        out = out.unionByName(common(hot_deck(rows, "fly_id", ["experiment_id", "monitor", "alike"], "channel", field), field, field))
+        out = out.unionByName(common(hot_deck(rows, "fly_id", ["experiment_id", "monitor", "alike"], "channel", field, nearest_outside=True), field, field))
     return out
