@@ -216,17 +216,47 @@ SPEECH = [
 ]
 
 
-def speeches(spark, texts):
-    rows = [(i, t, "plenary", f"AI-{i}", "Debate on harbour dredging", "clash") for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, agenda_id string, agenda_item string, body string")
+#: Bodies as they recur in a corpus: under three addresses each, between speeches that say other things.
+USUAL = [f"I thank the rapporteur for the report on {x}. We in this House have waited {i} months for it, and the people of our towns ask why." for i, x in enumerate("ferries tolls peat salt mills quays bees dams".split())]
+
+
+def speeches(spark, texts, copies=1, usual=5):
+    rows = [(i, t, "plenary", f"AI-{i}-{c}", "Debate on harbour dredging", "clash") for i, t in enumerate(texts) for c in range(copies)]
+    rows += [(1000 + i, t, "committee", f"AI-{1000 + i}", "Debate on harbour dredging", "clash") for i, t in enumerate(USUAL * usual)]
+    return spark.createDataFrame(rows if texts else [], "doc_id long, text string, source string, agenda_id string, agenda_item string, body string")
 
 
 def test_residue_is_found_and_speech_is_not(spark):
-    got = {r.doc_id for r in residue.residue(speeches(spark, CASES + SPEECH), written).collect()}
+    got = {r.doc_id for r in residue.residue(speeches(spark, CASES + SPEECH, 3), written).collect()}
     assert got == set(range(len(CASES))), [(CASES + SPEECH)[i] for i in got ^ set(range(len(CASES)))]
     assert residue.residue(speeches(spark, []), written).count() == 0
 
 
+def flagged(spark, texts, flag, copies=1, usual=5):
+    return {r.doc_id for r in residue.residue(speeches(spark, texts, copies, usual), written).where(flag).collect()}
+
+
+def test_dummy_text_of_an_unseen_vocabulary(spark):
+    rng = random.Random(3)
+    own = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(25)]
+    dummy = [". ".join(" ".join(rng.choices(own, k=7)).capitalize() for _ in range(5)) + "." for _ in range(3)]
+    assert flagged(spark, [*dummy, "A speech of ours.\n" + dummy[0]] + USUAL, "is_filler", usual=300) == {0, 1, 2, 3}
+
+
+def test_an_unlisted_sentence_that_repeats_itself_everywhere_is_filler(spark):
+    texts = ["Gemora tal nuvent oris. " * n for n in (3, 5, 4)] + ["Gemora tal nuvent oris.", "We agree with that. We agree with that."] + ["We agree with that."] * 9
+    assert flagged(spark, texts, "is_filler") == {0, 1, 2, 3}
+
+
+def test_responses_need_the_evidence_of_the_corpus(spark):
+    """The same body is a response where it recurs under other addresses, and none under one address or where its terms are the title's."""
+    once = "The archive server refused this. A second point. A third one, and a fourth. We go on. And we end."
+    assert flagged(spark, [once], "is_canned") == set()
+    assert flagged(spark, [once] * 3, "is_canned") == {0, 1, 2}
+    titled = "Harbour dredging server refused."
+    assert flagged(spark, [titled + " We go on. And so we end. We do. We really do."] * 3, "is_canned") == set()
+
+
 def test_very_long_texts(spark):
     speech = "I thank the rapporteur for his report on harbour dredging. " * 20_000
     got = {r.doc_id for r in residue.residue(speeches(spark, [speech, speech + "{{ party }}", "“" + "a" * 100_000, speech + "\nYour session has expired."]), written).collect()}
@@ -236,8 +266,13 @@ def test_very_long_texts(spark):
 def test_unlisted_responses_that_recur_under_other_addresses(spark):
     canned = "Login cache failure on this webmaster url"
     texts = [canned + f" {i}" for i in range(4)] + ["A cache failure at the url of our minister"] * 4
-    got = {r.doc_id for r in residue.residue(speeches(spark, texts), written).where("is_canned").collect()}
-    assert got == {0, 1, 2, 3}
+    assert flagged(spark, texts, "is_canned") == {0, 1, 2, 3}
+
+
+def test_repeated_doc_ids_and_null_columns(spark):
+    rows = [(1, "404 Not Found", None, None, None), (1, "A speech.", None, None, None), (2, "A speech.", "x", None, None), (None, "{{ name }}", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, agenda_id string, agenda_item string")
+    assert {r.doc_id for r in residue.residue(df, written).collect()} == {1, None}
 
 
 def test_queries_run_on_the_smallest_tables(spark, sf):

@@ -1,208 +1,276 @@
 """Template residue, filler, error pages and script notices that stand where content belongs.
 
-The evidence, all of it in built-in expressions:
+Texts are cut into segments (sentences and lines); numbers and identifiers are masked, so that a
+response that recurs has one signature. A signature is judged by evidence pooled over the whole corpus:
 
-* placeholder detectors: unfilled template syntax, and instructions in brackets of any style
-* filler: runs of words of the usual dummy text, dummy sentences, one word over and over
-* error and notice sentences, where they begin a line or sentence of their own
-* address, title and body: a short body that shares no term with its title (agenda_item), holds
-  technical terms and no address of a speaker, and recurs under several addresses (agenda_id), is a
-  canned response; where only two addresses share it, the share of residue of its host (source) decides
+* address (agenda_id) and title (agenda_item): it stands under different addresses and shares no term with any title it stands under
+* body: it makes up bodies alone, or stands several times in a row where it stands at all
+* information: its words are technical terms (their number and their share), or status codes and
+  traces of programs, or one word over and over; words of speakers speak against it
+* host (source): the share of residue, against that of the corpus, decides where one point is missing
 
-What stands in quotation marks is mentioned, not content, and is taken out before. Fixed values
-below are plain lists of phrases and terms in the four languages of the records.
+Placeholders are found by template syntax, and by instructions or field names in brackets. Dummy text of
+any vocabulary is found by statistics: several segments without any of the words that are common in
+the corpus and without short words. What stands in quotation marks is mentioned, not content, and is
+taken out before. Fixed values below are plain lists of terms in the four languages of the records.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Template syntax, over lower-case text without quoted parts.
+from ultradia.operators.linking import Written
+
+#: Template syntax, over folded text without quoted parts.
 SYNTAX = (
-    r"\{\{[^{}\n]{1,80}\}\}",
-    r"[$#]\{[^{}\n]{1,60}\}",
-    r"<%=?[^%\n]{1,60}%>",
-    r"\{%[^%\n]{1,80}%\}",
-    r"\[\[[^\[\]\n]{1,80}\]\]",
-    r"@@[a-z_]{2,60}@@",
-    r"%[a-z][a-z_]{2,60}%",
-    r"%\([a-z_]{1,60}\)[sd]",
-    r"\$[a-z][a-z_]{2,60}\$",
+    r"\{\{[^{}\n]++\}\}",
+    r"[$#]\{[^{}\n]++\}",
+    r"<%[^%\n]++%>",
+    r"\{%[^%\n]++%\}",
+    r"\[\[[^\[\]\n]++\]\]",
+    r"@@[a-z_]++@@",
+    r"%[a-z][a-z_]+%",
+    r"%\([a-z_]++\)[sd]",
+    r"\$[a-z][a-z_]+\$",
     r"\{[0-9]{1,2}\}",
 )
-#: Words of an instruction to fill something in (accents off).
+#: Words that ask to fill something in (accents off).
 INSTRUCTIONS = (
-    "insert", "enter ", "fill in", "type here", "goes here", " here$", "to be confirmed", "to be added", "to be determined", "^tbc$", "^tbd$", "^todo",
-    "to follow", "pending", "^name of", "name here", "item title", "placeholder",
-    "einfugen", "einsetzen", "eintragen", "erganzen", "ausfullen", "^text folgt", "folgt$", "^platzhalter", "^name des",
-    "inserer", "a completer", "a preciser", "a remplir", "a venir$", "indiquer", "saisir", "^nom de l", "^titre du", "^texte a",
-    "insertar", "completar", "por confirmar", "por determinar", "rellenar", "introducir", "pendiente", "^nombre del", "^titulo del", "aqui$",
-)
-#: Words of the usual dummy text.
-DUMMY = (
-    "adipira", "aliqua", "amet", "animidest", "cillar", "commodus", "conset", "culpamen", "desera", "dolor", "elitus", "fabrit", "fugiat", "irure", "ipsum",
-    "laborum", "lorem", "magnar", "minimet", "mollitan", "nisira", "norda", "nullam", "officiar", "quistor", "sempra", "sintura", "tempor", "ultamen", "velitum",
-    "venostra", "volupta", "adipiscing", "consectetur", "elit", "sed", "eiusmod", "incididunt", "labore", "magna", "veniam", "nostrud",
-)
-#: Dummy sentences (accents and commas off).
-FILLER = (
-    "sample paragraph replace with", "this is placeholder copy", "placeholder text", "body copy goes here", "test test test", "dies ist ein blindtext", "blindtext fur", "hier steht spater",
-    "texte d.exemple a remplacer", "ceci est un (?:faux[ -]?)?texte", "faux texte", "texte de remplissage", "texto de ejemplo sustituir", "texto de relleno", "este es un texto de", "aqui ira el texto", "beispieltext",
-    "platzhaltertext", "ici viendra", "le discours viendra", "replace this text", "your text here", "asdf asdf", "qwert",
-)
-#: What a server answers.
-STATUS = (
-    "not found", "unauthorized", "forbidden", "gone", "bad gateway", "gateway time-?out", "service unavailable", "internal server error", "too many requests", "bad request",
-    "request time-?out", "method not allowed", "pagina no encontrada", "page introuvable", "page non trouvee", "seite nicht gefunden", "acceso denegado", "acces refuse", "zugriff verweigert",
-)
-#: Beginnings of error messages (accents and commas off).
-ERRORS = (
-    "erreur interne du serveur", "interner serverfehler", "error interno del servidor", "internal server error", "die angeforderte seite", "la page demandee", "la pagina solicitada",
-    "the page you are looking for", "the requested page", "oops!", "we.re sorry something went wrong", "something went wrong on our", "access to this document has been denied",
-    "(?:access denied|acceso denegado|acces refuse|zugriff verweigert)\\.? (?:ref|vorgang|incident|ray|id)", "der dienst ist vorubergehend", "el servicio no esta disponible",
-    "le service est (?:temporairement )?indisponible", "(?:the|this) service is (?:temporarily|currently) unavailable", "ihre sitzung ist abgelaufen\\. bitte melden", "your session has expired",
-    "votre session a expire", "su sesion ha (?:caducado|expirado)", "upstream connect", "too many requests from", "demasiadas solicitudes", "trop de requetes", "zu viele anfragen",
-    "the transcript server could not", "the server (?:could not|encountered|is temporarily)", "the database is currently", "la base de datos no", "la base de donnees est", "die datenbank ist derzeit",
-    "connection (?:refused|reset|timed out)", "request timed out", "an error (?:has )?occurred", "se ha producido un error", "une erreur (?:s.est produite|est survenue)", "ein fehler ist aufgetreten",
+    "insert", "enter", "fill", "type", "replace", "choose", "add", "confirmed", "added", "determined", "completed", "tbc", "tbd", "todo", "follow", "follows", "pending", "placeholder",
+    "einfugen", "einsetzen", "eintragen", "eingeben", "erganzen", "ausfullen", "auswahlen", "ersetzen", "nachtragen", "folgt", "folgen", "platzhalter",
+    "inserer", "completer", "preciser", "remplir", "remplacer", "indiquer", "saisir", "ajouter", "choisir", "venir", "confirmer",
+    "insertar", "completar", "rellenar", "introducir", "indicar", "sustituir", "anadir", "elegir", "confirmar", "determinar", "precisar", "pendiente",
 )
-#: Traces of programs, anywhere outside quotation marks.
-TRACES = (
-    r"traceback \(most recent", r"\bjava\.[a-z]+\.[a-z]+(?:exception|error)", r"\bat [a-z]+(?:\.[a-z0-9_$]+)+\([a-z0-9_]+\.java:", r"fatal error: ", r"\bfile \"[^\"\n]{1,80}\" line [0-9]",
-    r"\b[a-z]{3,30}error: [^ \n]", r"nullpointerexception", r"segmentation fault", r"sqlstate", r"<html", r"<!doctype", r"uncaught [a-z]*(?:error|exception)", r"undefined (?:method|variable|index|function)",
+#: Words that end, and field names that begin, what a bracket of a template holds.
+LAST = ("here", "hier", "ici", "aqui")
+FIELDS = ("name", "nom", "nombre", "title", "titel", "titre", "titulo", "date", "datum", "fecha", "text", "texte", "texto")
+#: Technical terms of error pages and browser notices (accents off).
+TECHNICAL = (
+    "access", "accessible", "activate", "allowed", "app", "browser", "cache", "captcha", "connection", "cookie", "cookies", "database", "denied", "disabled", "disconnect", "display", "displayed", "enable", "enabled", "error",
+    "exception", "exist", "expired", "failed", "failure", "fatal", "gateway", "headers", "http", "https", "incident", "internal", "javascript", "js", "load", "loading", "login", "maintenance", "method", "moved", "network", "noscript", "oops",
+    "page", "permission", "proxy", "redirect", "refused", "reload", "request", "requested", "requests", "required", "requires", "reset", "retry", "script", "scripting", "scripts", "seconds", "server", "service", "session", "settings",
+    "sorry", "support", "temporarily", "timeout", "traceback", "unauthorized", "unavailable", "undefined", "unexpected", "unsupported", "upstream", "url", "viewer", "website", "wrong",
+    "abgelaufen", "aktivieren", "aktivierte", "aktiviert", "anfrage", "anfragen", "angeforderte", "anmelden", "anzuzeigen", "benotigt", "datenbank", "deaktiviert", "dienst", "erforderlich", "erneut", "fehler", "gefunden", "interner", "netzwerk", "neu", "seite",
+    "melden", "serverfehler", "skript", "skripte", "spater", "unterstutzt", "verbindung", "verfugbar", "verweigert", "voruber", "vorubergehend", "wartung", "zugriff",
+    "acces", "activer", "activez", "active", "activa", "connexion", "demandee", "desactive", "erreur", "execution", "expire", "indisponible", "interne", "introuvable", "navigateur", "necessite", "recharger", "refuse", "requete", "requetes", "reessayez", "serveur", "temporairement", "trouvee",
+    "acceso", "caducado", "conexion", "denegado", "desactivado", "disponible", "ejecucion", "encontrada", "expirado", "habilite", "interno", "intentelo", "navegador", "pagina", "requiere", "servicio", "servidor", "solicitud", "temporalmente",
 )
-#: Beginnings of notices that scripts or a browser feature are required.
-NOTICES = (
-    "please (?:enable|allow|activate|turn on) (?:javascript|scripts?|cookies)", "you need to enable javascript", "you must enable javascript", "your browser does not support", "this page requires (?:scripts|javascript)",
-    "this (?:site|app) requires javascript", "checking your browser", "js is disabled", "javascript is (?:disabled|required|switched off|not enabled)", "noscript:", "cookies must be", "scripts and cookies must",
-    "turn on scripting", "ihr browser unterstutzt kein", "bitte aktivieren sie (?:javascript|cookies|skripte)", "diese seite benotigt", "javascript ist (?:deaktiviert|erforderlich|nicht aktiviert)",
-    "veuillez activer", "cette page necessite", "javascript est desactive", "javascript desactive dans votre", "votre navigateur ne prend pas", "vous devez activer javascript",
-    "su navegador (?:tiene|no admite|no es compatible)", "esta pagina (?:requiere|necesita)", "active javascript", "(?:por favor )?habilite javascript", "debe (?:activar|habilitar) javascript", "javascript esta desactivado",
+#: Terms for text that only holds a place (accents off).
+HOLDING = (
+    "placeholder", "dummy", "filler", "sample", "layout", "lipsum", "copy", "blindtext", "mustertext", "beispieltext", "fulltext", "platzhalter", "platzhaltertext", "exemple", "remplissage", "remplacer", "maquette", "fictif",
+    "relleno", "ejemplo", "maqueta", "provisional", "sustituir", "replace", "ersetzen",
 )
-#: Technical terms and words of speakers, for canned responses not listed above.
-TECHNICAL = (
-    "access", "browser", "cache", "captcha", "cookies?", "database", "denied", "disabled", "error", "erreur", "exception", "expired", "failed", "failure", "fehler", "gateway", "http", "https", "javascript",
-    "login", "maintenance", "navegador", "navigateur", "page", "pagina", "reload", "request", "retry", "scripts?", "seite", "server", "serveur", "servidor", "session", "timeout", "unavailable", "url", "webmaster",
+#: The beginning of the usual dummy text, as printers know it.
+LOREM = ("lorem", "ipsum", "dolor", "sit", "amet", "consectetur", "adipiscing", "elit", "eiusmod", "tempor", "incididunt", "labore", "dolore", "magna", "aliqua", "veniam", "nostrud", "exercitation", "ullamco", "laboris")
+#: Words of the reason phrases that belong to HTTP status codes, and their usual translations.
+REASONS = (
+    "bad", "request", "unauthorized", "payment", "required", "forbidden", "not", "found", "method", "allowed", "acceptable", "conflict", "gone", "too", "many", "requests", "internal", "server", "error", "implemented", "gateway", "service",
+    "unavailable", "timeout", "time", "out", "http", "status", "code", "fehler", "erreur", "page", "introuvable", "trouvee", "non", "seite", "nicht", "gefunden", "pagina", "no", "encontrada", "interne", "interner", "serverfehler", "du", "serveur", "interno", "del", "servidor",
 )
+#: What speakers say of themselves, to one another and of their house.
 SPEAKERS = (
-    "i", "we", "my", "our", "minister", "government", "house", "member", "members", "president", "speaker", "petition", "ich", "wir", "herr", "frau", "abgeordnete", "nous", "je", "monsieur", "madame", "notre",
-    "senorias", "nosotros", "senor", "senora", "ministro", "ministre", "amendment", "amendement", "enmienda", "sitting", "seance", "sesion", "beifall", "applause", "antrag",
+    "i", "we", "my", "minister", "ministers", "government", "house", "member", "members", "president", "speaker", "petition", "petitions", "citizens", "constituents", "amendment", "amendments", "motion", "clause", "bill",
+    "ich", "wir", "uns", "herr", "frau", "minister", "regierung", "abgeordnete", "antrag", "burger", "niemand", "menschen", "formular", "nous", "je", "monsieur", "madame", "notre", "petition", "ministre", "gouvernement", "amendement", "citoyens", "impossible",
+    "senorias", "nosotros", "senor", "senora", "ministro", "gobierno", "enmienda", "ciudadanos", "tramite", "beifall", "applause", "applaudissements", "aplausos",
 )
 ACCENTS = "àáâãäåāçèéêëēìíîïīñòóôõöøōùúûüūýÿ"
 PLAIN = "aaaaaaaceeeeeiiiiinooooooouuuuuyy"
+#: What programs print when they fail, by form (numbers are masked).
+MACHINE = (
+    r"\b[a-z_$][a-z0-9_$]*(?:\.[a-z_$][a-z0-9_$]*)+\(",
+    r"\b[a-z]+(?:\.[a-z0-9_]+)+(?:exception|error)\b|\b[a-z]{3,}(?:exception|error):?$",
+    r"\b[a-z_]+::[a-z_]+\(",
+    r"\bfile \"[^\"\n]+\" *,? line ",
+    r"(?:^|[ (])/[a-z0-9_]+/[a-z0-9_./]+\.[a-z]{1,4}\b",
+    r"\bsqlstate\b|\bsegmentation fault\b|\btraceback \(",
+)
+TAGS_RE = r"(?i)</?(?:html|head|body|title|h[1-6]|div|pre|script|!doctype)\b[^<>]*>"
+STATUS_RE = r"(?<![0-9#.,/:-])[45][0-9]{2}(?![0-9])"
+INSIDE = r"[^\[\]<>{}\n*]*?"
 
 
-def folded(text: Column) -> Column:
-    """Lower case; quoted parts, commas, accents and odd blanks off; ligatures and broken words whole; lines kept."""
-    t = F.regexp_replace(F.lower(text), "[­​-‏⁠﻿\\p{M}]|-\n(?=\\p{Ll})", "")
-    t = F.regexp_replace(t, "[\\h \t]+", " ")
-    t = F.translate(t, ACCENTS + "ﬁﬂ", PLAIN + "")
-    t = F.replace(F.replace(t, F.lit(""), F.lit("fi")), F.lit(""), F.lit("fl"))
-    t = F.regexp_replace(t, "“[^“”„«»]{0,400}+[”“]|„[^“”„«»]{0,400}+[“”]|« ?[^“”„«»]{0,400}+»", "“”")
-    return F.regexp_replace(t, ",+", "")
-
-
-def _any(parts: tuple[str, ...]) -> str:
+def _any(parts: Sequence[str]) -> str:
     return "(?:" + "|".join(parts) + ")"
 
 
-#: Where a sentence or line of its own begins.
-START = r"(?:^|[\n>.!?…:;)\]–—-]) {0,2}"
-INSIDE = r"[^\[\]<>{}\n*]{0,60}"
-
-
 def _bracketed() -> str:
-    """An instruction in square, angle or curly brackets, doubled or with dots, or between underscores or asterisks."""
-    inner = [p for p in INSTRUCTIONS if not p.startswith("^") and not p.endswith("$")]
-    first = [p[1:] for p in INSTRUCTIONS if p.startswith("^") and not p.endswith("$")]
-    last = [p[:-1] for p in INSTRUCTIONS if p.endswith("$") and not p.startswith("^")]
-    only = [p[1:-1] for p in INSTRUCTIONS if p.startswith("^") and p.endswith("$")]
-    body = f"(?: ?(?:{'|'.join(only)}) ?| ?(?:{'|'.join(first)}){INSIDE}|{INSIDE}?(?:{'|'.join(inner)}){INSIDE}|{INSIDE}?(?:{'|'.join(last)}) ?)"
-    return rf"(?:\[…?{body}…?\]|<{body}>|\{{{body}\}}|__{body}__|\*\*\*{body}\*\*\*)"
+    """An instruction or field name in square, angle or curly brackets, doubled or with dots, or between underscores or asterisks."""
+    body = rf"(?:{INSIDE}(?<![a-z]){_any(INSTRUCTIONS)}(?![a-z]){INSIDE}|{INSIDE}(?<![a-z]){_any([*LAST, *FIELDS])}[ …]?|[ …]?{_any(FIELDS)}(?![a-z]){INSIDE})"
+    return rf"(?:\[{body}(?:\]|$)|<{body}>|\{{{body}\}}|__{body}(?:__|$)|\*\*\*{body}(?:\*\*\*|$))"
 
 
 SYNTAX_RE = _any(SYNTAX)
 BRACKET_RE = _bracketed()
-FILLER_RE = rf"(?:\b(?:{'|'.join(DUMMY)})\b[ .;\n]*){{4,}}|{START}{_any(FILLER)}|\b([a-z]{{4,}})(?: \1){{2,}}\b|\bx{{4,}} x{{2,}}"
-ERROR_RE = (
-    rf"{START}(?:(?:{'|'.join(ERRORS)})|(?:http |error |erreur |fehler )?[1-5][0-9]{{2}} ?[:–-]? ?{_any(STATUS)}|{_any(STATUS)} ?\([1-5][0-9]{{2}}\)|(?:http|error|erreur|fehler) [1-5][0-9]{{2}} ?[.\n]?$)"
-)
-TRACE_RE = _any(TRACES)
-NOTICE_RE = rf"{START}{_any(NOTICES)}"
-#: Every pattern of template syntax and of instructions in brackets has one of these signs, and folding makes none of them.
-SIGN_RE = r"[\[<{%$@_*]"
+MACHINE_RE = _any(MACHINE)
 
 
-def evidence(documents: DataFrame) -> DataFrame:
-    """doc_id, agenda_id, agenda_item, source, body (folded), and the detectors' findings.
+def without_quotes(text: Column) -> Column:
+    return F.regexp_replace(text, "“[^“”„«»]*+[”“]|„[^“”„«»]*+[“”]|« ?[^“”„«»]*+»", "“”")
 
-    Columns is_placeholder, is_filler, is_error, is_notice. Null and blank texts have no findings.
-    Whole texts are looked at; the rules for form are by line and sentence, so length does not matter.
-    """
-    rows = documents.select("doc_id", "agenda_id", "agenda_item", "source", "text").withColumn("body", folded(F.col("text")))
 
-    def hit(*patterns: str) -> Column:
-        found = F.lit(False)
-        for p in patterns:
-            found = found | F.col("body").rlike(p)
-        return F.coalesce(found, F.lit(False))
+def segments(text: Column) -> Column:
+    """The sentences and lines of a text without quotes: tags off; identifiers and numbers masked, but for numbers from 400 to 599."""
+    t = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, r"<(?=/?[a-zA-Z!])[^<>]*+>", "\n$0\n")).otherwise(text)
+    t = F.regexp_replace(t, r"\b(?![45][0-9]{2}\b(?![.,/:-][0-9a-z]))[a-f]*+[0-9][0-9a-f]*+(?:[.,/:-][0-9a-f]++)*+", "#")
+    return F.split(t, r"(?<=[.!?…:;–)\]>}])\s|\n")
+
+
+def folded(part: Column) -> Column:
+    """Lower case; accents, marks and odd blanks off; ligatures whole."""
+    t = F.regexp_replace(F.lower(part), "[­​-‏⁠﻿\\p{M}]", "")
+    t = F.replace(F.replace(F.translate(t, ACCENTS, PLAIN), F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
+    return F.trim(F.regexp_replace(t, "[\\h\\s]+", " "))
+
+
+def words(segment: Column) -> Column:
+    return F.filter(F.split(segment, r"(?<=\b[a-z])['’]|[^a-zß-ÿ’']+"), lambda w: w != "")
+
 
-    sign = F.coalesce(F.col("text").rlike(SIGN_RE), F.lit(False))
+def _literal(terms: Sequence[str]) -> Column:
+    return F.array(*[F.lit(t) for t in sorted(set(terms))])
+
+
+def evidence(documents: DataFrame) -> DataFrame:
+    """doc_id, address (hash of agenda_id), source, title (its words of four letters or more), parts (segments), is_placeholder.
+
+    is_placeholder: template syntax in the whole text. Null and blank texts have no segments.
+    """
+    text = without_quotes(F.col("text"))
+    rows = documents.select("doc_id", F.xxhash64("agenda_id").alias("address"), F.col("source").cast("string").alias("source"), F.lower(F.coalesce("agenda_item", F.lit(""))).alias("title"), text.alias("body"))
+    sign = F.col("body").rlike(r"[{@]|<%|\[\[|%[(A-Za-z]|\$[A-Za-z]")
     return rows.select(
         "doc_id",
-        "agenda_id",
-        "agenda_item",
+        "address",
         "source",
-        "text",
-        "body",
-        (sign & hit(SYNTAX_RE, BRACKET_RE)).alias("is_placeholder"),
-        hit(FILLER_RE).alias("is_filler"),
-        hit(ERROR_RE, TRACE_RE).alias("is_error"),
-        hit(NOTICE_RE).alias("is_notice"),
+        F.filter(F.split("title", r"[^\p{L}]+"), lambda w: F.length(w) > 3).alias("title"),
+        F.coalesce(segments(F.col("body")), F.array().cast("array<string>")).alias("parts"),
+        F.coalesce(sign & F.regexp_replace(F.lower("body"), "[\\h\t]+", " ").rlike(SYNTAX_RE), F.lit(False)).alias("is_placeholder"),
     )
 
 
-def canned(found: DataFrame, longest: int = 400) -> DataFrame:
-    """doc_id of short bodies that recur like canned responses: title and body disagree, technical terms, no speaker.
+def occurrences(kept: DataFrame) -> DataFrame:
+    """Every segment: doc_id, source, address, title, raw, repeats (the one before is the same), alone (three segments at most)."""
+    out = kept.select("doc_id", "source", "address", "title", "parts", F.posexplode("parts").alias("pos", "raw")).where("raw != ''")
+    before = F.get("parts", F.col("pos") - 1)
+    return out.select("doc_id", "source", "address", "title", "raw", F.coalesce(before == F.col("raw"), F.lit(False)).alias("repeats"), (F.size("parts") <= 3).alias("alone"))
+
+
+def raw_signatures(found: DataFrame) -> DataFrame:
+    """One row per segment as it is written: raw_key, part (folded), key (its hash), n, runs, low, high (hashes of addresses), alone, titled (two terms and half of a title)."""
+    small = F.lower("raw")
+    shared = F.size(F.filter("title", lambda t: F.contains(small, t)))
+    grouped = found.groupBy("raw").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum((~F.col("repeats")).cast("int")).alias("runs"),
+        F.min("address").alias("low"),
+        F.max("address").alias("high"),
+        F.max("alone").alias("alone"),
+        F.max((shared >= 2) & (shared * 2 >= F.size("title"))).alias("titled"),
+    )
+    part = grouped.withColumn("part", folded(F.col("raw"))).where("part != ''")
+    return part.select(F.xxhash64("raw").alias("raw_key"), "part", F.xxhash64("part").alias("key"), "n", "runs", "low", "high", "alone", "titled")
+
+
+def signatures(raw: DataFrame) -> DataFrame:
+    """One row per signature: key, part, n, runs (rows of itself count once), spread (under different addresses), alone, titled, w (its words)."""
+    grouped = raw.groupBy("key", "part").agg(
+        F.sum("n").alias("n"), F.sum("runs").alias("runs"), (F.min("low") < F.max("high")).alias("spread"), F.max("alone").alias("alone"), F.max("titled").alias("titled")
+    )
+    return grouped.withColumn("w", words(F.col("part")))
 
-    Only unflagged short bodies with at least two technical terms get here; they are grouped by
-    their terms without numbers. Recurring under three addresses is enough; under two, if the host
-    has more residue than the corpus on average. The hosts' shares are one row per source.
+
+def uncommon(parts: DataFrame, share: float = 0.002) -> DataFrame:
+    """key, size of the signatures of three words or more, of which at most a tenth are common in the corpus and a tenth short.
+
+    Common is a word in at least ``share`` of all segments: at most (words a segment) / share words, which bounds what is sent along.
+    """
+    # remarks of transcribers are few words and names
+    each = parts.where(~F.col("part").rlike(r"^[(\[{<]")).select("key", "n", F.explode(F.array_distinct("w")).alias("word"))
+    total = parts.agg(F.sum("n").alias("total"))
+    common = each.groupBy("word").agg(F.sum("n").alias("in")).join(F.broadcast(total), F.col("in") >= share * F.col("total")).select("word", F.lit(1).alias("is_common"))
+    counted = each.where(F.length("word") > 1).join(F.broadcast(common), "word", "left").groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.count("is_common").alias("known"), F.count(F.when(F.length("word") <= 3, 1)).alias("short")
+    )
+    strange = counted.where("size >= 3 and known * 10 <= size and short * 10 <= size").select("key", "size")
+    return strange.join(parts.select("key", "spread"), "key").where("size >= 8 or not coalesce(spread, false)").select("key", "size")
+
+
+def judged(parts: DataFrame) -> DataFrame:
+    """key, points (evidence for a canned response), is_filler, is_machine, is_open (an instruction in brackets) of every signature with points.
+
+    A status code with nothing but its reason, or one word repeated, decides alone. Else each technical term gives a
+    point, up to three, and their share one more; standing under different addresses without a term of
+    the title, making up bodies alone, and runs of itself give the rest. Words of speakers take four.
     """
-    flagged = (F.col("is_placeholder") | F.col("is_filler") | F.col("is_error") | F.col("is_notice")).cast("int")
-    hosts = found.groupBy("source").agg(F.sum(flagged).alias("bad"), F.count(F.lit(1)).alias("n"))
-    total = hosts.agg((F.sum("bad") / F.sum("n")).alias("average"))
-    shares = hosts.crossJoin(F.broadcast(total)).select("source", (F.col("bad") / F.col("n") > F.col("average")).alias("host_suspect"))
-    terms = F.array_distinct(F.split(F.trim(F.regexp_replace("body", "[^a-z]+", " ")), " "))
-    title = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("agenda_item", F.lit(""))), "[^a-z]+", " ")), " ")
-    rows = (
-        found.where((flagged == 0) & F.col("body").isNotNull() & (F.length("body") <= longest))
-        .where(F.size(F.regexp_extract_all("body", F.lit(rf"\b{_any(TECHNICAL)}\b"), F.lit(0))) >= 2)
-        .withColumn("terms", terms)
-        .where(~F.arrays_overlap("terms", F.filter(title, lambda t: F.length(t) > 3)))
-        .where(~F.arrays_overlap("terms", F.array(*[F.lit(x) for x in SPEAKERS])))
-        .select("doc_id", "agenda_id", "source", F.array_join("terms", " ").alias("signature"))
+    rows = parts.withColumn("tech", F.size(F.array_intersect("w", _literal(TECHNICAL)))).withColumn("size", F.size("w"))
+    coded = F.col("part").rlike(STATUS_RE) & (F.size(F.array_except("w", _literal(REASONS))) == 0) & (F.col("size") > 0)
+    distinct = F.size(F.array_distinct("w"))
+    same_word = ((F.col("size") >= 4) & (distinct * 2 <= F.col("size"))) | F.col("part").rlike(r"\b([a-z]{4,})(?:,? \1){2,}+\b|^(?:([a-z])\2+[ .]*){2,}$")
+    in_runs = (F.col("size") >= 3) & (((F.col("n") >= 1.6 * F.col("runs")) & (F.col("runs") >= 3)) | (F.col("n") >= 3 * F.col("runs")))
+    holding = F.size(F.array_intersect("w", _literal(HOLDING)))
+    thin = (F.col("tech") > 0) & (F.col("tech") * 5 < F.col("size"))
+    announcing = (F.col("size") >= 4) & F.col("part").endswith(":")
+    lorem = F.size(F.array_intersect("w", _literal(LOREM))) >= 4
+    spoken = F.arrays_overlap("w", _literal(SPEAKERS))
+    mismatch = F.col("spread") & ~F.col("titled")
+    technical = F.least(F.col("tech"), F.lit(3)) + F.when((F.col("tech") >= 2) & (F.col("tech") * 10 >= F.col("size") * 3), 1).when(thin & ~coded, -2).otherwise(0)
+    filler = F.when(same_word | lorem, 4).otherwise(0) + F.when(in_runs, 3).otherwise(0) + F.when(holding >= 2, 3).otherwise(holding)
+    own = F.when(coded, 4).otherwise(0) + technical + filler
+    more = F.when(mismatch, 1).otherwise(0) + F.when(F.col("alone"), 1).otherwise(0) - F.when(spoken, 4).otherwise(0) - F.when(F.col("titled"), 2).otherwise(0) - F.when(announcing, 4).otherwise(0)
+    machine = F.col("part").rlike(MACHINE_RE) | F.col("part").rlike(TAGS_RE)
+    return (
+        rows.select(
+            "key", (own + more).alias("points"), (filler > technical).alias("is_filler"), own.alias("own"), machine.alias("is_machine"), F.col("part").rlike(BRACKET_RE).alias("is_open")
+        )
+        .where("(own > 1 and points >= 3) or is_machine or is_open")
+        .select("key", F.when((F.col("own") > 1), F.col("points")).alias("points"), "is_filler", "is_machine", "is_open")
     )
-    same = rows.groupBy("signature").agg(F.count_distinct("agenda_id").alias("addresses"))
-    joined = rows.join(same, "signature").join(shares, rows["source"].eqNullSafe(shares["source"]), "left")
-    return joined.where((F.col("addresses") >= 3) | ((F.col("addresses") == 2) & F.col("host_suspect"))).select("doc_id")
 
 
-def residue(documents: DataFrame, written) -> DataFrame:
-    """Every document that is or holds residue: doc_id, is_placeholder, is_filler, is_error, is_notice, is_canned.
+def residue(documents: DataFrame, written: Written, enough: int = 4) -> DataFrame:
+    """Every document that is or holds residue: doc_id, is_placeholder, is_filler, is_machine, is_canned.
 
-    ``written`` stores a table once and reads it again. Documents that repeat a doc_id are judged each; extra columns are ignored; an
-    empty table gives no rows.
+    is_placeholder: unfilled template syntax; is_machine: output of programs; is_filler: dummy text or a segment that only
+    holds a place; is_canned: a segment with ``enough`` points as a response (with one less where its host
+    has more residue than the corpus). ``written`` stores a table once and reads it again. Documents that repeat a doc_id are judged
+    together; extra columns are ignored; an empty table gives no rows.
     """
-    found = evidence(documents)
-    short = F.length("body") <= 400
-    kept = written(
-        found.select(
-            "doc_id", "agenda_id", "agenda_item", "source", F.when(short, F.col("body")).alias("body"), "is_placeholder", "is_filler", "is_error", "is_notice"
-        ),
-        "evidence",
+    kept = written(evidence(documents), "evidence")
+    found = occurrences(kept)
+    raw = written(raw_signatures(found), "segments")
+    parts = written(signatures(raw), "signatures")
+    verdict = judged(parts).join(uncommon(parts), "key", "full")
+    verdict = written(raw.select("raw_key", "key").join(verdict, "key").drop("key"), "verdicts")
+    keyed = found.select("doc_id", "source", F.xxhash64("raw").alias("raw_key")).join(verdict, "raw_key")
+    per_doc = keyed.groupBy("doc_id", "source").agg(
+        F.max(F.when(~F.col("is_filler"), F.col("points"))).alias("canned"),
+        F.max(F.when(F.col("is_filler"), F.col("points"))).alias("filler"),
+        F.max("is_machine").alias("is_machine"),
+        F.max("is_open").alias("is_open"),
+        F.count("size").alias("strange"),
+        F.sum("size").alias("strange_words"),
+    )
+    flags = kept.groupBy("doc_id", "source").agg(F.max("is_placeholder").alias("_syntax"))
+    met = flags.join(per_doc.withColumnsRenamed({"doc_id": "_d", "source": "_s"}), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+    both = written(
+        met.withColumns({"is_placeholder": F.col("_syntax") | F.coalesce("is_open", F.lit(False)), "is_machine": F.coalesce("is_machine", F.lit(False))}).drop("_d", "_s", "_syntax", "is_open"), "documents"
+    )
+    dummy = (F.col("strange") >= 2) & (F.col("strange_words") >= 8)
+    sure = F.col("is_placeholder") | F.col("is_machine") | F.coalesce(F.greatest("canned", "filler") >= enough, F.lit(False)) | F.coalesce(dummy, F.lit(False))
+    hosts = both.groupBy("source").agg(F.avg(sure.cast("double")).alias("share"))
+    total = both.agg(F.avg(sure.cast("double")).alias("average"))
+    suspect = hosts.join(F.broadcast(total), F.col("share") > F.col("average")).select(F.col("source").alias("_host"), F.lit(1).alias("suspect"))
+    needed = F.lit(enough) - F.coalesce("suspect", F.lit(0))
+    no = F.lit(False)
+    out = both.join(suspect, F.col("source").eqNullSafe(F.col("_host")), "left").select(
+        "doc_id",
+        "is_placeholder",
+        (F.coalesce(dummy, no) | F.coalesce(F.col("filler") >= needed, no)).alias("is_filler"),
+        "is_machine",
+        F.coalesce(F.col("canned") >= needed, no).alias("is_canned"),
     )
-    flags = ["is_placeholder", "is_filler", "is_error", "is_notice"]
-    certain = kept.where(" or ".join(flags)).select("doc_id", *flags, F.lit(False).alias("is_canned"))
-    more = canned(kept).select("doc_id", *[F.lit(False).alias(c) for c in flags], F.lit(True).alias("is_canned"))
-    return certain.unionByName(more)
+    names = ["is_placeholder", "is_filler", "is_machine", "is_canned"]
+    return out.where(" or ".join(names)).groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
