@@ -1,5 +1,6 @@
 import base64
 import datetime as dt
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ultradia.llm import clusters, packing, queries, residue, tokens
-from ultradia.operators.linking import components, linked_groups, points_of
+from ultradia.operators.linking import cells_of, components, near_cells, points_of, relabelled
 from ultradia.session import written
 
 P = pytest.importorskip("public_tokenizers")
@@ -50,7 +51,7 @@ FZ = "feature_id long, a double, b double, c double, cluster_id string, p0 strin
 
 def found_groups(spark, rows, radius=0.2, least=5):
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], FZ)
-    return clusters.similar_groups(df, "feature_id", ("a", "b", "c"), radius, least, written)
+    return clusters.similar_groups(df, "feature_id", ("a", "b", "c"), radius, least)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -63,9 +64,9 @@ def test_groups_equal_brute_force(spark, seed):
         rows.append((i * 3 + 1, *[c + rng.gauss(0, spread) for c in center]))
     rows += [(5000 + i, *rows[0][1:]) for i in range(20)]  # repeats
     rows += [(7000 + i, 9.0 + 0.2 * i, 9.0, 9.0) for i in range(6)]  # a chain of pairs at the radius
-    got = found_groups(spark, rows)
-    assert {(r.feature_id, r.cluster_id) for r in got.collect()} == brute_groups(rows, 0.2, 5)
-    assert all(r.internal_degree >= 0 for r in got.collect())
+    got = found_groups(spark, rows).collect()
+    assert {(r.feature_id, r.cluster_id) for r in got} == brute_groups(rows, 0.2, 5)
+    assert len({(r.community, r.cluster_id) for r in got}) == len({r.community for r in got})
 
 
 def test_dense_neighbours_that_the_graph_does_not_join(spark):
@@ -81,9 +82,55 @@ def test_groups_without_rows_nulls_and_nan(spark):
 
 
 def test_described_members(spark):
-    rows = [(i, 0.01 * i, 0.0, 0.0) for i in range(9)] + [(100 + i, 5.0 + 0.01 * i, 0.0, 0.0) for i in range(5)]
-    got = {r.cluster_id: r for r in clusters.described(written(found_groups(spark, rows), "m"), "feature_id").collect()}
-    assert got[0].size == 9 and got[100].size == 5 and len(got[0].typical) == 3 and set(got[100].typical) <= set(range(100, 105))
+    rows = [(i, 0.01 * i, 0.0, 0.0, "clash", "clash") for i in range(9)] + [(100 + i, 5.0 + 0.01 * i, 0.0, 0.0, "clash", "clash") for i in range(5)]
+    got = {r.community: r for r in clusters.described(spark.createDataFrame(rows, FZ), "feature_id", ("a", "b", "c"), 0.2, 5).collect()}
+    assert got[0].size == got[0].cluster_size == 9 and got[100].size == 5 and len(got[0].typical) == 3 and set(got[100].typical) <= set(range(100, 105))
+    assert clusters.described(spark.createDataFrame([], FZ), "feature_id", ("a", "b", "c"), 0.2, 5).count() == 0
+
+
+def blobs(rng, n=60):
+    """Three dense blobs; the first two are joined by a thin chain, so they are one group of two communities."""
+    at = [(0.0, 0.0, 0.0), (1.2, 0.0, 0.0), (5.0, 5.0, 5.0)]
+    rows = [(i, *[c + rng.uniform(-0.25, 0.25) for c in at[i % 3]]) for i in range(3 * n)]
+    return rows + [(1000 + i, 0.15 * i, 0.0, 0.0) for i in range(9)]
+
+
+def modularity(edges, label):
+    total = sum(edges.values())
+    inside, degree = defaultdict(float), defaultdict(float)
+    for (u, v), w in edges.items():
+        degree[label[u]] += w
+        inside[label[u]] += w * (label[u] == label[v])
+    return sum(inside[c] / total - (degree[c] / total) ** 2 for c in degree)
+
+
+def test_communities_reach_a_modularity_that_no_merger_raises(spark):
+    rows = blobs(random.Random(4))
+    nodes = written(cells_of(spark.createDataFrame(rows, "id long, p0 double, p1 double, p2 double"), 0.2), "nodes")
+    graph = written(clusters.neighbour_graph(nodes, 0.2, written), "graph")
+    label = {r.id: r.c for r in clusters.communities(nodes, graph, 0.2, written).collect()}
+    n = {r.id: r.n for r in nodes.collect()}
+    edges = {(r.u, r.v): n[r.u] * n[r.v] * math.exp(-r.d2 / 0.01) for r in graph.collect()}
+    edges |= {(u, u): k * (k - 1) * math.exp(-0.04 / 6 / 0.01) for u, k in n.items() if k > 1}
+    got = modularity(edges, label)
+    assert got > 0.5 and len(set(label.values())) > 2
+    pairs = {tuple(sorted((label[u], label[v]))) for u, v in edges if label[u] != label[v]}
+    for a, b in pairs:
+        assert modularity(edges, {k: a if c == b else c for k, c in label.items()}) <= got + 1e-9
+    one_each = modularity(edges, {k: k for k in label})
+    assert got > one_each
+
+
+def test_the_graph_saves_comparisons(spark):
+    """Without the graph's links, ``links_across`` has many cells to compare; with them, next to none."""
+    rng = random.Random(5)
+    records = written(spark.createDataFrame([(i, *[rng.gauss(0, 0.3) for _ in range(3)]) for i in range(1500)], "id long, p0 double, p1 double, p2 double"), "r")
+    nodes = written(cells_of(records, 0.2), "nodes")
+    graph = written(clusters.neighbour_graph(nodes, 0.2, written), "graph")
+    linked = relabelled(nodes.select("id", F.col("id").alias("c")), graph.select(F.col("u").alias("a"), F.col("v").alias("b")), written)
+    apart = near_cells(nodes.withColumn("c", F.col("id")), 0.2).count()
+    left = near_cells(nodes.join(linked, "id"), 0.2).count()
+    assert left * 5 < apart
 
 
 def test_neighbour_graph_recall(spark, sf):
@@ -102,7 +149,6 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), written).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(50))
-    assert linked_groups is not None
 
 
 # 8 -----------------------------------------------------------------------------------------------

@@ -1,26 +1,28 @@
-"""Similarity clusters: neighbour descent, modularity communities, typical members; exact linking on top.
-
-Rows become points (equal coordinates are one point with a weight). ``neighbour_graph`` finds
-approximate nearest neighbours within a radius by neighbour descent: neighbours of a point are
-likely neighbours of one another. ``communities`` moves points between communities while modularity
-grows, then the communities themselves. ``linked_groups`` joins communities that a pair within the
-radius connects, which makes the groups exact: all pairs are accounted for by a grid whose cells are so
-small that all their points are linked, so no cell ever pairs its own points, and only cells of
-different groups are compared.
+"""Similarity clusters: neighbour descent, modularity communities, typical members.
+
+Records fall into grid cells so small that all records of a cell are linked; each cell is one node with
+the number of its records, at a record of its own. ``neighbour_graph`` finds approximate nearest
+neighbours within the radius by neighbour descent: neighbours of a node are likely neighbours of one
+another. ``communities`` moves nodes between communities, then communities between larger
+ones, until modularity grows no more. Communities that an edge of the graph joins belong together;
+``links_across`` compares the records of cells that this leaves apart, which makes the groups exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ultradia.operators.linking import Written, axis_names, distance2, linked_groups, points_of
+from ultradia.operators.linking import Written, axis_names, cell_keys, cells_of, distance2, links_across, relabelled
+from ultradia.session import Scratch, written
 
 NEIGHBOURS = 6
 #: Neighbours of a point that one round of descent pairs with one another.
 PAIRED = 6
+#: Sweeps of local moving, and rounds of merging, after which it stops even if something still gains.
+SWEEPS, LEVELS = 24, 40
 
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
@@ -69,94 +71,144 @@ def neighbour_graph(points: DataFrame, radius: float, written: Written, k: int =
     return both.dropDuplicates(["u", "v"])
 
 
-def _moved(edges: DataFrame, sweeps: int, written: Written) -> DataFrame:
-    """id, c: labels after sweeps of local moving over symmetric edges u, v, w (loops: u = v, both ends in w)."""
-    labels = written(edges.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")).withColumn("c", F.col("id")), "labels")
-    total = labels.agg(F.sum("k")).first()[0]
-    if not total:
-        return labels.select("id", "c")
-    for sweep in range(sweeps):
+def _kernel(d2: Column, radius: float) -> Column:
+    return F.exp(-d2 / F.lit((radius / 2) ** 2))
+
+
+def _moved(edges: DataFrame, temp: Written, sweeps: int = SWEEPS, still: float = 0.05) -> DataFrame:
+    """id, c: labels after local moving over symmetric edges u, v, w (loops: u = v, both ends in w), until two sweeps move at most ``still`` of the nodes.
+
+    Half of the nodes, by hash, may move at a time, or two neighbours would swap for ever. What still
+    could move moves on the next level, with its community.
+    """
+    labels = temp(edges.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")).select("id", "k", F.col("id").alias("c"), F.xxhash64("id").alias("h")), "labels")
+    total = labels.agg(F.sum("k").alias("m2"))
+    size, before = labels.count(), None
+    for _ in range(sweeps):
         sums = labels.groupBy("c").agg(F.sum("k").alias("tot"))
-        full = labels.join(sums, "c")
+        full = labels.join(sums, "c").crossJoin(F.broadcast(total))
         to = edges.where("u != v").join(full.select(F.col("id").alias("v"), "c", "tot"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"), F.first("tot").alias("tot"))
-        own = full.select(F.col("id").alias("u"), "k", F.col("c").alias("own"), F.col("tot").alias("own_tot"))
-        gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / F.lit(float(total))
-        scored = to.join(own, "u").withColumn("gain", gain)
-        best = scored.groupBy("u").agg(
+        own = full.where(F.pmod("h", F.lit(2)) == 0).select(F.col("id").alias("u"), "k", F.col("c").alias("own"), F.col("tot").alias("own_tot"), "m2")
+        gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / F.col("m2")
+        best = to.join(own, "u").withColumn("gain", gain).groupBy("u").agg(
             F.max(F.struct("gain", (-F.col("c")).alias("minus_c"))).alias("best"),
             F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"),
-            F.first("k").alias("k"),
-            F.first("own").alias("own"),
-            F.first("own_tot").alias("own_tot"),
+            F.first(F.struct("k", "own_tot", "m2")).alias("o"),
         )
-        stay = F.coalesce("stay", -F.col("k") * (F.col("own_tot") - F.col("k")) / F.lit(float(total)))
-        # half of the points move at a time, or two neighbours would swap for ever
-        may = F.pmod(F.xxhash64("u", F.lit(sweep)), F.lit(2)) == 0
-        new = best.select(F.col("u").alias("id"), F.when(may & (F.col("best.gain") > stay + 1e-12), -F.col("best.minus_c")).otherwise(F.col("own")).alias("new"))
-        labels = written(labels.join(new, "id", "left").select("id", "k", F.coalesce("new", "c").alias("c")), "labels")
+        stay = F.coalesce("stay", -F.col("o.k") * (F.col("o.own_tot") - F.col("o.k")) / F.col("o.m2"))
+        new = best.where(F.col("best.gain") > stay + 1e-9 * F.col("o.k")).select(F.col("u").alias("id"), (-F.col("best.minus_c")).alias("new"))
+        labels = temp(labels.join(new, "id", "left").select("id", "k", F.coalesce("new", "c").alias("c"), F.xxhash64("h").alias("h"), F.col("new").isNotNull().alias("moved")), "labels")
+        moved = labels.where("moved").count()
+        labels = labels.drop("moved")
+        if before is not None and before + moved <= still * size:
+            break
+        before = moved
     return labels.select("id", "c")
 
 
-def communities(points: DataFrame, graph: DataFrame, radius: float, written: Written, sweeps: int = 3) -> DataFrame:
-    """id, c for every point: communities by modularity, one level of points and one of communities.
+def _merged(edges: DataFrame, temp: Written) -> DataFrame:
+    """id, c: pairs of communities that gain most by one another (symmetric edges u, v, w with loops); the best pair of all always is one."""
+    total = edges.agg(F.sum("w").alias("m2"))
+    strength = edges.groupBy("u").agg(F.sum("w").alias("k"))
+    pairs = edges.where("u != v").join(strength, "u").join(strength.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v").crossJoin(F.broadcast(total))
+    gains = pairs.select("u", "v", (F.col("w") - F.col("k") * F.col("kv") / F.col("m2")).alias("gain"), (F.col("m2") * 1e-9).alias("least")).where("gain > least")
+    best = gains.groupBy("u").agg(F.max_by("v", F.struct("gain", -F.least("u", "v"), -F.greatest("u", "v"))).alias("v"))
+    mutual = best.join(best.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"])
+    return temp(mutual.where("u > v").select(F.col("u").alias("id"), F.col("v").alias("c")), "merged")
 
-    Weights fall with the distance, exp(-d2 / (radius / 2) ^ 2). A point takes the label of a
-    community only along an edge, so a community never reaches over a gap in the graph. Points
-    without edges are on their own.
+
+def communities(nodes: DataFrame, graph: DataFrame, radius: float, temp: Written) -> DataFrame:
+    """id, c for every node (id, n): communities by modularity; local moving of nodes, then merging of communities until no pair gains.
+
+    A graph edge weighs as its nodes' records times exp(-d2 / (radius / 2) ^ 2), a node with itself
+    as its pairs of records at the mean distance of a cell. Labels move along edges only, so a
+    community never reaches over a gap in the graph. Nodes without edges are on their own.
     """
-    edges = written(graph.select("u", "v", F.exp(-F.col("d2") / F.lit((radius / 2) ** 2)).alias("w")), "weights")
-    first = _moved(edges, sweeps, written)
-    lifted = (
-        edges.join(first.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u")
-        .join(first.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v")
-        .groupBy(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        .agg(F.sum("w").alias("w"))
-    )
-    second = _moved(written(lifted, "lifted"), max(1, sweeps - 1), written)
-    both = first.join(second.select(F.col("id").alias("c"), F.col("c").alias("c2")), "c", "left")
-    return written(points.select("id").join(both, "id", "left").select("id", F.coalesce("c2", "c", "id").alias("c")), "communities")
-
-
-def similar_groups(rows: DataFrame, key: str, coords: Sequence[str], radius: float, least: int, written: Written) -> DataFrame:
-    """One row per row of the input in a group of at least ``least`` rows: key, cluster_id, community, internal_degree.
+    weight = nodes.select("id", F.col("n").cast("double").alias("n"))
+    between = graph.join(weight.select(F.col("id").alias("u"), F.col("n").alias("a")), "u").join(weight.select(F.col("id").alias("v"), F.col("n").alias("b")), "v")
+    loops = weight.where("n > 1").select(F.col("id").alias("u"), F.col("id").alias("v"), (F.col("n") * (F.col("n") - 1) * _kernel(F.lit(radius * radius / 6), radius)).alias("w"))
+    edges = temp(between.select("u", "v", (F.col("a") * F.col("b") * _kernel(F.col("d2"), radius)).alias("w")).unionByName(loops), "weights")
+    labels = nodes.select("id", F.col("id").alias("c"))
+    step = _moved(edges, temp)
+    for _ in range(LEVELS):
+        labels = temp(labels.join(step.select(F.col("id").alias("c"), F.col("c").alias("new")), "c", "left").select("id", F.coalesce("new", "c").alias("c")), "communities")
+        ends = edges.join(step.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u", "left").join(step.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v", "left")
+        edges = temp(ends.groupBy(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).agg(F.sum("w").alias("w")), "lifted")
+        step = _merged(edges, temp)
+        if not step.limit(1).count():
+            break
+    return labels
+
+
+def placed_records(rows: DataFrame, key: str, coords: Sequence[str]) -> DataFrame:
+    """id (the key), p0, p1, ... of the rows with a key and all coordinates (no null, NaN or number beyond 1e300)."""
+    ps = [F.col(c).cast("double") for c in coords]
+    ok = F.col(key).isNotNull()
+    for c in ps:
+        ok = ok & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e300)
+    return rows.where(ok).select(F.col(key).cast("long").alias("id"), *[(c + F.lit(0.0)).alias(f"p{i}") for i, c in enumerate(ps)])
+
+
+def grouped_cells(records: DataFrame, radius: float, least: int, temp: Written) -> tuple[DataFrame, DataFrame]:
+    """The cells with group, community, cluster_id and size of the groups of ``least`` records or more, and the graph of their nodes."""
+    nodes = temp(cells_of(records, radius), "nodes")
+    graph = temp(neighbour_graph(nodes, radius, temp), "graph")
+    found = communities(nodes, graph, radius, temp)
+    at = found.select("id", "c")
+    joined = graph.select("u", "v").join(at.select(F.col("id").alias("u"), F.col("c").alias("a")), "u").join(at.select(F.col("id").alias("v"), F.col("c").alias("b")), "v")
+    groups = relabelled(found, joined.where("a != b").select("a", "b").distinct(), temp)
+    cells = temp(nodes.join(groups, "id"), "cells")
+    groups = relabelled(groups, links_across(records, cells, radius, temp), temp)
+    full = nodes.join(groups.withColumnRenamed("c", "grp"), "id").join(found.withColumnRenamed("c", "community"), "id")
+    sizes = full.groupBy("grp").agg(F.sum("n").alias("size"), F.min("id").alias("cluster_id")).where(F.col("size") >= least)
+    return temp(full.join(sizes, "grp").drop("grp"), "grouped"), graph
+
+
+def similar_groups(rows: DataFrame, key: str, coords: Sequence[str], radius: float, least: int) -> DataFrame:
+    """One row per row of the input in a group of at least ``least`` rows: key, cluster_id, size, community.
 
     Two rows belong together if their Euclidean distance is at most the radius or a chain of such
     rows joins them; cluster_id is the smallest key of the group. community is the modularity
-    community within it (smallest key), internal_degree the summed weight of the row's graph edges within its
-    cluster, by which typical members are found (rows of equal coordinates weigh 1 each). Rows with
-    a null or NaN coordinate are left out. No rows, no groups.
+    community within it (smallest key). Rows with a null key, or a null or NaN coordinate, are left
+    out; rows of equal coordinates are members each; other columns do not matter. No rows, no groups.
     """
-    points = written(points_of(rows, key, coords), "points")
-    graph = written(neighbour_graph(points, radius, written), "graph")
-    found = communities(points, graph, radius, written)
-    groups = linked_groups(points, graph, found, radius, written)
-    sizes = points.select("id", "n").join(groups, "id").groupBy("c").agg(F.sum("n").alias("size"), F.min("id").alias("cluster_id")).where(F.col("size") >= least)
-    weights = points.select(F.col("id").alias("v"), "n")
-    degree = (
-        graph.join(weights, "v")
-        .groupBy(F.col("u").alias("id"))
-        .agg(F.sum(F.exp(-F.col("d2") / F.lit((radius / 2) ** 2)) * F.col("n")).alias("edges"))
-    )
-    names = axis_names(points)
-    known = (
-        points.join(groups, "id")
-        .join(sizes.select("c", "cluster_id", "size"), "c")
-        .join(found.select("id", F.col("c").alias("community")), "id")
-        .join(degree, "id", "left")
-        .select(*names, "cluster_id", "size", "community", (F.coalesce("edges", F.lit(0.0)) + F.col("n") - 1).alias("internal_degree"))
-    )
-    mine = rows.select(F.col(key), *[(F.col(c).cast("double") + F.lit(0.0)).alias(n) for c, n in zip(coords, names)])
-    return mine.join(known, names).select(key, "cluster_id", "size", "community", "internal_degree")
+    temp = Scratch()
+    records = placed_records(rows, key, coords)
+    cells, _ = grouped_cells(records, radius, least, temp)
+    cs = [f"c{i}" for i in range(len(coords))]
+    known = written(cells.select(*cs, "cluster_id", "size", "community"), "labels")
+    temp.clear()
+    return records.select(F.col("id").alias(key), *cell_keys(axis_names(records), radius)).join(known, cs).select(key, "cluster_id", "size", "community")
 
 
-def described(members: DataFrame, key: str, typical: int = 3) -> DataFrame:
-    """cluster_id, size, n_communities, typical: the members of highest internal weighted degree, ties by key.
+def described(rows: DataFrame, key: str, coords: Sequence[str], radius: float, least: int, typical: int = 3) -> DataFrame:
+    """One row per community: cluster_id, cluster_size, community, size, typical: its members of highest weighted degree within it, ties by key.
 
-    The best few are kept by a partial aggregate per share of a cluster, so a cluster with a third of all rows is no one task's.
+    The degree of a record sums, over the nodes of its community that the graph joins to its own node, their records by nearness.
+    The best few are kept per cell first, then per share of a community, so no community is one task's.
     """
-    rank = F.struct((-F.col("internal_degree")).alias("d"), F.col(key).alias("k"))
-    shared = members.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(64)))
-    w = Window.partitionBy("cluster_id", "_salt").orderBy(F.desc("internal_degree"), key)
-    best = shared.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= typical).groupBy("cluster_id").agg(F.slice(F.sort_array(F.collect_list(rank)), 1, typical).alias("best"))
-    sizes = members.groupBy("cluster_id").agg(F.max("size").alias("size"), F.count_distinct("community").alias("n_communities"))
-    return sizes.join(best, "cluster_id").select("cluster_id", "size", "n_communities", F.transform("best", lambda b: b["k"]).alias("typical"))
+    temp = Scratch()
+    records = placed_records(rows, key, coords)
+    cells, graph = grouped_cells(records, radius, least, temp)
+    names = axis_names(records)
+    cs = [f"c{i}" for i in range(len(names))]
+    inside = cells.select(F.col("id").alias("v"), F.col("community").alias("cv"), F.struct("n", *names).alias("to"))
+    own = cells.select(F.col("id").alias("u"), "community", F.struct("n", *names).alias("to"))
+    near = graph.select("u", "v").join(inside, "v").join(own.select("u", "community"), "u").where("cv = community").select("u", "to").unionByName(own.select("u", "to"))
+    around = near.groupBy(F.col("u").alias("id")).agg(F.collect_list("to").alias("around"))  # at most NEIGHBOURS x directions + 1 each
+    at = records.withColumnRenamed("id", "_key").select("_key", *[F.col(n).alias(f"x{n}") for n in names], *cell_keys(names, radius))
+    joined = at.join(cells.select(*cs, "id", "cluster_id", F.col("size").alias("cluster_size"), "community").join(around, "id"), cs)
+
+    def pull(s: Column, t: Column) -> Column:
+        d2 = sum(((F.col(f"x{n}") - t[n]) ** 2 for n in names), F.lit(0.0))
+        return s + t["n"] * _kernel(d2, radius)
+
+    scored = joined.withColumn("degree", F.aggregate("around", F.lit(0.0), pull)).select("_key", "cluster_id", "cluster_size", "community", "degree")
+    rank = F.struct((-F.col("degree")).alias("d"), F.col("_key").alias("k"))
+    w = Window.partitionBy("community", "_salt").orderBy(F.desc("degree"), "_key")
+    best = scored.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(64))).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= typical)
+    best = best.groupBy("community").agg(F.slice(F.sort_array(F.collect_list(rank)), 1, typical).alias("best"))
+    sizes = cells.groupBy("cluster_id", F.col("size").alias("cluster_size"), "community").agg(F.sum("n").alias("size"), F.min("id").alias("first"))
+    out = written(sizes.join(best, "community").select("cluster_id", "cluster_size", F.col("first").alias("community"), "size", F.transform("best", lambda b: b["k"]).alias("typical")), "described")
+    temp.clear()
+    return out

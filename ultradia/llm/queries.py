@@ -15,17 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 LIKENESS = ("night_sleep_mean_z", "total_sleep_mean_z", "p_wake_mean_z")
 
 
-def p7_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.similar_groups(table(spark, sf_dir, "features_z"), "feature_id", LIKENESS, 0.2, 5, written)
-
-
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_members(spark, sf_dir).select("feature_id", "cluster_id")
+    return clusters.similar_groups(table(spark, sf_dir, "features_z"), "feature_id", LIKENESS, 0.2, 5).select("feature_id", "cluster_id")
 
 
 def p7_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each group's size and most typical flies."""
-    return clusters.described(written(p7_members(spark, sf_dir), "members"), "feature_id")
+    """Each community of like flies within its group: sizes and most typical flies."""
+    return clusters.described(table(spark, sf_dir, "features_z"), "feature_id", LIKENESS, 0.2, 5)
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,19 +108,20 @@ MACHINE_RE = _any(MACHINE)
 
 
 def without_quotes(text: Column) -> Column:
-    return F.regexp_replace(text, "“[^“”„«»]*+[”“]|„[^“”„«»]*+[“”]|« ?[^“”„«»]*+»", "“”")
+    quoted = F.contains(text, F.lit("“")) | F.contains(text, F.lit("„")) | F.contains(text, F.lit("«"))
+    return F.when(quoted, F.regexp_replace(text, "“[^“”„«»]*+[”“]|„[^“”„«»]*+[“”]|« ?[^“”„«»]*+»", "“”")).otherwise(text)
 
 
 def segments(text: Column) -> Column:
-    """The sentences and lines of a text without quotes: tags off; identifiers and numbers masked, but for numbers from 400 to 599."""
+    """The sentences and lines of a text without quotes: tags apart; numbers masked, but for numbers from 400 to 599."""
     t = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, r"<(?=/?[a-zA-Z!])[^<>]*+>", "\n$0\n")).otherwise(text)
-    t = F.regexp_replace(t, r"\b(?![45][0-9]{2}\b(?![.,/:-][0-9a-z]))[a-f]*+[0-9][0-9a-f]*+(?:[.,/:-][0-9a-f]++)*+", "#")
-    return F.split(t, r"(?<=[.!?…:;–)\]>}])\s|\n")
+    t = F.regexp_replace(t, r"(?=[0-9])(?<![0-9])(?!(?<![0-9a-zA-Z])[45][0-9]{2}(?![0-9a-f]|[.,/:-][0-9a-z]))[0-9a-f]++(?:[.,/:-][0-9a-f]++)*+", "#")
+    return F.split(t, r"\n|\s(?<=[.!?…:;–)\]>}]\s)")
 
 
 def folded(part: Column) -> Column:
-    """Lower case; accents, marks and odd blanks off; ligatures whole."""
-    t = F.regexp_replace(F.lower(part), "[­​-‏⁠﻿\\p{M}]", "")
+    """Lower case; accents, marks and odd blanks off; ligatures whole; letters of identifiers before a masked number off."""
+    t = F.regexp_replace(F.lower(part), "\\b[a-f]+(?=#)|[­​-‏⁠﻿\\p{M}]", "")
     t = F.replace(F.replace(F.translate(t, ACCENTS, PLAIN), F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
     return F.trim(F.regexp_replace(t, "[\\h\\s]+", " "))
 
@@ -134,100 +135,106 @@ def _literal(terms: Sequence[str]) -> Column:
 
 
 def evidence(documents: DataFrame) -> DataFrame:
-    """doc_id, address (hash of agenda_id), source, title (its words of four letters or more), parts (segments), is_placeholder.
+    """doc_id, address (hash of agenda_id), source, title (agenda_item), parts (each segment with the one before), is_placeholder.
 
     is_placeholder: template syntax in the whole text. Null and blank texts have no segments.
     """
-    text = without_quotes(F.col("text"))
-    rows = documents.select("doc_id", F.xxhash64("agenda_id").alias("address"), F.col("source").cast("string").alias("source"), F.lower(F.coalesce("agenda_item", F.lit(""))).alias("title"), text.alias("body"))
-    sign = F.col("body").rlike(r"[{@]|<%|\[\[|%[(A-Za-z]|\$[A-Za-z]")
-    return rows.select(
+    rows = documents.select(
+        "doc_id",
+        F.xxhash64("agenda_id").alias("address"),
+        F.col("source").cast("string").alias("source"),
+        F.lower(F.coalesce("agenda_item", F.lit(""))).alias("title"),
+        F.coalesce(without_quotes(F.col("text")), F.lit("")).alias("body"),
+    )
+    signs = F.lit(False)
+    for sign in ("{", "@@", "<%", "[[", "%", "$"):
+        signs = signs | F.contains("body", F.lit(sign))
+    cut = rows.withColumn("cut", segments(F.col("body")))
+    before = F.concat(F.array(F.lit("")), F.slice("cut", 1, F.greatest(F.size("cut") - 1, F.lit(0))))
+    return cut.select(
         "doc_id",
         "address",
         "source",
-        F.filter(F.split("title", r"[^\p{L}]+"), lambda w: F.length(w) > 3).alias("title"),
-        F.coalesce(segments(F.col("body")), F.array().cast("array<string>")).alias("parts"),
-        F.coalesce(sign & F.regexp_replace(F.lower("body"), "[\\h\t]+", " ").rlike(SYNTAX_RE), F.lit(False)).alias("is_placeholder"),
+        "title",
+        F.arrays_zip(F.col("cut").alias("raw"), before.alias("before")).alias("parts"),
+        F.when(signs, F.regexp_replace(F.lower("body"), "[\\h\t]+", " ").rlike(SYNTAX_RE)).otherwise(False).alias("is_placeholder"),
     )
 
 
-def occurrences(kept: DataFrame) -> DataFrame:
-    """Every segment: doc_id, source, address, title, raw, repeats (the one before is the same), alone (three segments at most)."""
-    out = kept.select("doc_id", "source", "address", "title", "parts", F.posexplode("parts").alias("pos", "raw")).where("raw != ''")
-    before = F.get("parts", F.col("pos") - 1)
-    return out.select("doc_id", "source", "address", "title", "raw", F.coalesce(before == F.col("raw"), F.lit(False)).alias("repeats"), (F.size("parts") <= 3).alias("alone"))
-
-
-def raw_signatures(found: DataFrame) -> DataFrame:
-    """One row per segment as it is written: raw_key, part (folded), key (its hash), n, runs, low, high (hashes of addresses), alone, titled (two terms and half of a title)."""
-    small = F.lower("raw")
-    shared = F.size(F.filter("title", lambda t: F.contains(small, t)))
-    grouped = found.groupBy("raw").agg(
+def raw_signatures(kept: DataFrame) -> DataFrame:
+    """One row per segment as it is written: raw_key, part (folded), key (its hash), n, runs (rows of itself count once), low, high (hashes of addresses), alone (three segments at most)."""
+    found = kept.select("address", F.size("parts").alias("size"), F.explode("parts").alias("p")).where("p.raw != ''")
+    grouped = found.groupBy(F.col("p.raw").alias("raw")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum((~F.col("repeats")).cast("int")).alias("runs"),
+        F.sum(F.when(F.col("p.before") == F.col("p.raw"), 0).otherwise(1)).alias("runs"),
         F.min("address").alias("low"),
         F.max("address").alias("high"),
-        F.max("alone").alias("alone"),
-        F.max((shared >= 2) & (shared * 2 >= F.size("title"))).alias("titled"),
+        F.min("size").alias("least"),
     )
     part = grouped.withColumn("part", folded(F.col("raw"))).where("part != ''")
-    return part.select(F.xxhash64("raw").alias("raw_key"), "part", F.xxhash64("part").alias("key"), "n", "runs", "low", "high", "alone", "titled")
+    return part.select(F.xxhash64("raw").alias("raw_key"), "part", F.xxhash64("part").alias("key"), "n", "runs", "low", "high", (F.col("least") <= 3).alias("alone"))
 
 
 def signatures(raw: DataFrame) -> DataFrame:
-    """One row per signature: key, part, n, runs (rows of itself count once), spread (under different addresses), alone, titled, w (its words)."""
-    grouped = raw.groupBy("key", "part").agg(
-        F.sum("n").alias("n"), F.sum("runs").alias("runs"), (F.min("low") < F.max("high")).alias("spread"), F.max("alone").alias("alone"), F.max("titled").alias("titled")
-    )
+    """One row per signature: key, part, n, runs, spread (under different addresses), alone, w (its words)."""
+    grouped = raw.groupBy("key", "part").agg(F.sum("n").alias("n"), F.sum("runs").alias("runs"), (F.min("low") < F.max("high")).alias("spread"), F.max("alone").alias("alone"))
     return grouped.withColumn("w", words(F.col("part")))
 
 
-def uncommon(parts: DataFrame, share: float = 0.002) -> DataFrame:
-    """key, size of the signatures of three words or more, of which at most a tenth are common in the corpus and a tenth short.
+LEXICON = {"tech": TECHNICAL, "holding": HOLDING, "lorem": LOREM, "reason": REASONS, "spoken": SPEAKERS}
+
+
+def counted(parts: DataFrame, share: float = 0.002) -> DataFrame:
+    """key, part, n, runs, spread, alone, size (words), and of its distinct words: distinct, long (two letters or more), short (two or three), known (common in the corpus), and those of each list of LEXICON.
 
     Common is a word in at least ``share`` of all segments: at most (words a segment) / share words, which bounds what is sent along.
     """
-    # remarks of transcribers are few words and names
-    each = parts.where(~F.col("part").rlike(r"^[(\[{<]")).select("key", "n", F.explode(F.array_distinct("w")).alias("word"))
+    each = parts.select("key", "n", F.explode(F.array_distinct("w")).alias("word"))
     total = parts.agg(F.sum("n").alias("total"))
-    common = each.groupBy("word").agg(F.sum("n").alias("in")).join(F.broadcast(total), F.col("in") >= share * F.col("total")).select("word", F.lit(1).alias("is_common"))
-    counted = each.where(F.length("word") > 1).join(F.broadcast(common), "word", "left").groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.count("is_common").alias("known"), F.count(F.when(F.length("word") <= 3, 1)).alias("short")
+    common = each.groupBy("word").agg(F.sum("n").alias("in")).join(F.broadcast(total), F.col("in") >= share * F.col("total")).select("word", F.lit(1).alias("known"))
+    listed = parts.sparkSession.createDataFrame([(t, *[1 if t in terms else None for terms in LEXICON.values()]) for t in sorted({t for terms in LEXICON.values() for t in terms})], "word string, " + ", ".join(f"{k} int" for k in LEXICON))
+    per_key = each.join(F.broadcast(common), "word", "left").join(F.broadcast(listed), "word", "left").groupBy("key").agg(
+        F.count(F.lit(1)).alias("distinct"),
+        F.count(F.when(F.length("word") > 1, 1)).alias("long"),
+        F.count(F.when(F.length("word").between(2, 3), 1)).alias("short"),
+        *[F.count(c).alias(c) for c in ("known", *LEXICON)],
     )
-    strange = counted.where("size >= 3 and known * 10 <= size and short * 10 <= size").select("key", "size")
-    return strange.join(parts.select("key", "spread"), "key").where("size >= 8 or not coalesce(spread, false)").select("key", "size")
+    return parts.select("key", "part", "n", "runs", "spread", "alone", F.size("w").alias("size")).join(per_key, "key")
 
 
-def judged(parts: DataFrame) -> DataFrame:
-    """key, points (evidence for a canned response), is_filler, is_machine, is_open (an instruction in brackets) of every signature with points.
+def judged(counts: DataFrame) -> DataFrame:
+    """key, points (evidence for a canned response), spread, is_filler, is_machine, is_open (an instruction in brackets), strange (words, if they are no language of the corpus).
 
-    A status code with nothing but its reason, or one word repeated, decides alone. Else each technical term gives a
-    point, up to three, and their share one more; standing under different addresses without a term of
-    the title, making up bodies alone, and runs of itself give the rest. Words of speakers take four.
+    Only signatures with any evidence. A status code with nothing but its reason, or one word repeated, decides alone. Else each
+    technical term gives a point, up to three, and their share one more; standing under different
+    addresses, making up bodies alone, and runs of itself give the rest. Words of speakers take four, and so
+    does a longer segment that announces another. Strange is a signature of three words or more of which at most a tenth are
+    common and a tenth short, under one address only or of six words; remarks of transcribers are not.
     """
-    rows = parts.withColumn("tech", F.size(F.array_intersect("w", _literal(TECHNICAL)))).withColumn("size", F.size("w"))
-    coded = F.col("part").rlike(STATUS_RE) & (F.size(F.array_except("w", _literal(REASONS))) == 0) & (F.col("size") > 0)
-    distinct = F.size(F.array_distinct("w"))
-    same_word = ((F.col("size") >= 4) & (distinct * 2 <= F.col("size"))) | F.col("part").rlike(r"\b([a-z]{4,})(?:,? \1){2,}+\b|^(?:([a-z])\2+[ .]*){2,}$")
-    in_runs = (F.col("size") >= 3) & (((F.col("n") >= 1.6 * F.col("runs")) & (F.col("runs") >= 3)) | (F.col("n") >= 3 * F.col("runs")))
-    holding = F.size(F.array_intersect("w", _literal(HOLDING)))
-    thin = (F.col("tech") > 0) & (F.col("tech") * 5 < F.col("size"))
-    announcing = (F.col("size") >= 4) & F.col("part").endswith(":")
-    lorem = F.size(F.array_intersect("w", _literal(LOREM))) >= 4
-    spoken = F.arrays_overlap("w", _literal(SPEAKERS))
-    mismatch = F.col("spread") & ~F.col("titled")
-    technical = F.least(F.col("tech"), F.lit(3)) + F.when((F.col("tech") >= 2) & (F.col("tech") * 10 >= F.col("size") * 3), 1).when(thin & ~coded, -2).otherwise(0)
-    filler = F.when(same_word | lorem, 4).otherwise(0) + F.when(in_runs, 3).otherwise(0) + F.when(holding >= 2, 3).otherwise(holding)
+    c = F.col
+    rows = counts
+    coded = c("part").rlike(STATUS_RE) & (c("reason") == c("distinct"))
+    same_word = ((c("size") >= 4) & (c("distinct") <= 4) & (c("distinct") * 2 <= c("size"))) | c("part").rlike(r"\b([a-z]{4,})(?:,? \1){2,}+\b|^(?:([a-z])\2+[ .]*){2,}$")
+    in_runs = (c("size") >= 3) & (((c("n") >= 1.6 * c("runs")) & (c("runs") >= 3)) | (c("n") >= 3 * c("runs")))
+    thin = (c("tech") > 0) & (c("tech") * 5 < c("size"))
+    announcing = (c("size") >= 4) & c("part").endswith(":")
+    technical = F.least(c("tech"), F.lit(3)) + F.when((c("tech") >= 2) & (c("tech") * 10 >= c("size") * 3), 1).when(thin & ~coded, -2).otherwise(0)
+    filler = F.when(same_word | (c("lorem") >= 4), 4).otherwise(0) + F.when(in_runs, 3).otherwise(0) + F.when(c("holding") >= 2, 3).otherwise(c("holding"))
     own = F.when(coded, 4).otherwise(0) + technical + filler
-    more = F.when(mismatch, 1).otherwise(0) + F.when(F.col("alone"), 1).otherwise(0) - F.when(spoken, 4).otherwise(0) - F.when(F.col("titled"), 2).otherwise(0) - F.when(announcing, 4).otherwise(0)
-    machine = F.col("part").rlike(MACHINE_RE) | F.col("part").rlike(TAGS_RE)
-    return (
-        rows.select(
-            "key", (own + more).alias("points"), (filler > technical).alias("is_filler"), own.alias("own"), machine.alias("is_machine"), F.col("part").rlike(BRACKET_RE).alias("is_open")
-        )
-        .where("(own > 1 and points >= 3) or is_machine or is_open")
-        .select("key", F.when((F.col("own") > 1), F.col("points")).alias("points"), "is_filler", "is_machine", "is_open")
+    more = F.when(c("spread"), 1).otherwise(0) + F.when(c("alone"), 1).otherwise(0) - F.when(c("spoken") > 0, 4).otherwise(0) - F.when(announcing, 4).otherwise(0)
+    strange = (c("long") >= 3) & (c("known") * 10 <= c("long")) & (c("short") * 10 <= c("long")) & ~c("part").rlike(r"^[(\[{<]") & ((c("long") >= 6) | ~F.coalesce("spread", F.lit(False)))
+    scored = rows.select(
+        "key",
+        "spread",
+        own.alias("own"),
+        (own + more).alias("points"),
+        (filler > technical).alias("is_filler"),
+        (c("part").rlike(MACHINE_RE) | c("part").rlike(TAGS_RE)).alias("is_machine"),
+        c("part").rlike(BRACKET_RE).alias("is_open"),
+        F.when(strange, c("long")).alias("strange"),
     )
+    kept = scored.withColumn("points", F.when((c("own") > 1) & (c("points") >= 3), c("points"))).drop("own")
+    return kept.where("points is not null or is_machine or is_open or strange is not null")
 
 
 def residue(documents: DataFrame, written: Written, enough: int = 4) -> DataFrame:
@@ -239,19 +246,22 @@ def residue(documents: DataFrame, written: Written, enough: int = 4) -> DataFram
     together; extra columns are ignored; an empty table gives no rows.
     """
     kept = written(evidence(documents), "evidence")
-    found = occurrences(kept)
-    raw = written(raw_signatures(found), "segments")
+    raw = written(raw_signatures(kept), "segments")
     parts = written(signatures(raw), "signatures")
-    verdict = judged(parts).join(uncommon(parts), "key", "full")
-    verdict = written(raw.select("raw_key", "key").join(verdict, "key").drop("key"), "verdicts")
-    keyed = found.select("doc_id", "source", F.xxhash64("raw").alias("raw_key")).join(verdict, "raw_key")
+    verdict = written(raw.select("raw_key", "key").join(judged(counted(parts)), "key"), "verdicts")
+    found = kept.select("doc_id", "source", "title", F.explode("parts").alias("p")).select("doc_id", "source", "title", F.col("p.raw").alias("raw"), F.xxhash64("p.raw").alias("raw_key"))
+    # a response that shares terms with a title it stands under, anywhere, is none
+    shared = F.size(F.array_intersect(F.filter(F.split("title", r"[^\p{L}]+"), lambda t: F.length(t) > 3), F.split(F.lower("raw"), r"[^\p{L}]+")))
+    keyed = written(found.join(verdict, "raw_key").withColumn("titled", (F.col("points") >= 3) & (shared >= 2)).drop("raw", "title", "raw_key"), "hits")
+    titled = keyed.where("titled").groupBy("key").agg(F.lit(3).alias("less"))
+    keyed = keyed.join(titled, "key", "left").withColumn("points", F.col("points") - F.coalesce("less", F.lit(0)))
     per_doc = keyed.groupBy("doc_id", "source").agg(
         F.max(F.when(~F.col("is_filler"), F.col("points"))).alias("canned"),
         F.max(F.when(F.col("is_filler"), F.col("points"))).alias("filler"),
         F.max("is_machine").alias("is_machine"),
         F.max("is_open").alias("is_open"),
-        F.count("size").alias("strange"),
-        F.sum("size").alias("strange_words"),
+        F.count("strange").alias("strange"),
+        F.sum("strange").alias("strange_words"),
     )
     flags = kept.groupBy("doc_id", "source").agg(F.max("is_placeholder").alias("_syntax"))
     met = flags.join(per_doc.withColumnsRenamed({"doc_id": "_d", "source": "_s"}), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")), "left")
