@@ -34,7 +34,7 @@ def dbscan(rows: DataFrame, key: str, coords: Sequence[str], eps: float, min_sam
     counted = near.groupBy(F.col("a.id").alias("id")).agg(F.sum("b.n").alias("k")).where(F.col("k") >= min_samples).select("id")
     core = written(at.where(F.col("_all") >= min_samples).select("id").unionByName(counted), "core")
     cores = written(points.join(core, "id"), "cores")
-    groups = linked_groups(cores, None, cores.select("id", F.col("id").alias("c")), eps, written)
+    groups = linked_groups(cores, eps, written)
     border = near.join(groups.select(F.col("id").alias("_b"), "c"), F.col("b.id") == F.col("_b"))
     joined = border.groupBy(F.col("a.id").alias("id")).agg(F.min(F.struct(distance2("a", "b", names).alias("d"), "c")).alias("m")).select("id", F.col("m.c").alias("c"))
     outer = joined.join(groups, "id", "left_anti")

@@ -73,59 +73,107 @@ def relabelled(labels: DataFrame, links: DataFrame, written: Written) -> DataFra
     return written(labels.join(roots, "c", "left").select("id", F.coalesce("root", "c").alias("c")), "groups")
 
 
-def linked_groups(points: DataFrame, graph: DataFrame | None, labels: DataFrame, radius: float, written: Written) -> DataFrame:
-    """id, c: the exact groups of points that chains of pairs within the radius join.
+def cell_keys(names: Sequence[str], radius: float) -> list[Column]:
+    """c0, c1, ...: the grid cell of a point. Its side is radius / sqrt(dimensions), so any two points of a cell are within the radius."""
+    side = radius / len(names) ** 0.5 * (1 - 1e-12)
+    return [F.floor(F.col(n) / side).alias(f"c{i}") for i, n in enumerate(names)]
+
+
+def cells_of(points: DataFrame, radius: float) -> DataFrame:
+    """One row per grid cell of the points (id, p0, ..., and n if they have it): c0, ..., id (smallest), n, p0, ... (the point
+    nearest the middle of the cell; ties: smallest id), low0, high0, ... (the box of its points). A partial aggregate comes first."""
+    names = axis_names(points)
+    keys = cell_keys(names, radius)
+    cs = [f"c{i}" for i in range(len(names))]
+    side = radius / len(names) ** 0.5
+    off = sum(((F.col(n) - (F.col(c) + F.lit(0.5)) * side) ** 2 for n, c in zip(names, cs)), F.lit(0.0))
+    at = points.select("id", (F.col("n") if "n" in points.columns else F.lit(1)).cast("long").alias("n"), *names, *keys)
+    boxes = [f(n).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("low", F.min), ("high", F.max))]
+    grouped = at.groupBy(*cs).agg(F.min("id").alias("id"), F.sum("n").alias("n"), F.min(F.struct(off.alias("off"), "id", *names)).alias("near"), *boxes)
+    return grouped.select(*cs, "id", "n", *[F.col(f"near.{n}").alias(n) for n in names], *[f"{k}{i}" for i in range(len(names)) for k in ("low", "high")])
+
+
+def _gap2(x: str, y: str, dims: int) -> Column:
+    """Squared distance of two boxes (columns low0, high0, ... with prefixes)."""
+    total = F.lit(0.0)
+    for i in range(dims):
+        g = F.greatest(F.lit(0.0), F.col(f"{x}low{i}") - F.col(f"{y}high{i}"), F.col(f"{y}low{i}") - F.col(f"{x}high{i}"))
+        total = total + g * g
+    return total
+
+
+def near_cells(cells: DataFrame, radius: float) -> DataFrame:
+    """x, y (cells with different c whose boxes are within the radius), each pair once. The cells of the most frequent c only answer."""
+    dims = len(axis_names(cells))
+    wide = 2 * radius
+    top = cells.groupBy("c").count().orderBy(F.desc("count"), "c").limit(1).select(F.col("c").alias("_top"))
+    marked = cells.join(F.broadcast(top), F.col("c") == F.col("_top"), "left").withColumn("asks", F.col("_top").isNull()).drop("_top")
+    ws = [f"w{i}" for i in range(dims)]
+
+    def placed(df: DataFrame, name: str, margin: float) -> DataFrame:
+        out = df.select(F.struct(*cells.columns, "asks").alias(name), *[F.sequence(F.floor((F.col(f"low{i}") - margin) / wide), F.floor((F.col(f"high{i}") + margin) / wide)).alias(f"s{i}") for i in range(dims)])
+        for i in range(dims):
+            out = out.withColumn(f"w{i}", F.explode(f"s{i}"))
+        return out.select(name, *ws)
+
+    both = placed(marked.where("asks"), "x", radius).join(placed(marked, "y", 0.0), ws)
+    once = (F.col("x.c") != F.col("y.c")) & (~F.col("y.asks") | (F.col("x.id") < F.col("y.id")))
+    return both.where(once & (_gap2("x.", "y.", dims) <= radius * radius * (1 + 1e-9))).select("x", "y").dropDuplicates(["x", "y"])
+
 
-    1. Labels (id, c) are joined along the edges u, v of the graph, if there is one, and where they share a grid cell of
-       side radius / sqrt(dimensions): any two of its points are within the radius.
-    2. Cells of different groups that may reach one another are compared, first by one point of
-       each of at most 8 ^ dimensions parts of a cell (which joins dense neighbours at little cost), then, where
-       still apart, by all their points that lie within the radius of the other cell. The largest
-       group's cells are only ever compared with those of other groups.
+def links_across(points: DataFrame, cells: DataFrame, radius: float, written: Written, fineness: int = 8) -> DataFrame:
+    """a, b: the labels c of cells that some pair of points within the radius joins, however many points they hold.
+
+    Of the cells near one another with different labels, the points are put into boxes (``fineness`` a
+    side). Two boxes whose sample points are within the radius settle their labels; only of
+    boxes that leave it open are the points compared, and of these only those within the radius of the other box.
     """
     names = axis_names(points)
     dims = len(names)
-    side = radius / dims**0.5 * (1 - 1e-12)
+    limit, slack = radius * radius, radius * radius * (1 + 1e-9)
+    near = written(near_cells(cells, radius), "near")
     cs = [f"c{i}" for i in range(dims)]
-    at = points.select("id", *names, *[F.floor(F.col(n) / side).alias(c) for n, c in zip(names, cs)])
-    placed = at.join(labels, "id")
-    first = placed.groupBy(*cs).agg(F.min("c").alias("b"))
-    same_cell = placed.select(*cs, "c").distinct().join(first, cs).select(F.col("c").alias("a"), "b")
-    if graph is None:
-        graph = labels.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
-    edges = graph.join(labels.select(F.col("id").alias("u"), F.col("c").alias("a")), "u").join(labels.select(F.col("id").alias("v"), F.col("c").alias("b")), "v").select("a", "b")
-    groups = relabelled(labels, same_cell.unionByName(edges.where("a != b").distinct()), written)
+    box = [f"{k}{i}" for i in range(dims) for k in ("low", "high")]
+    met = near.select("x.*").unionByName(near.select("y.*")).select(*cs, F.col("id").alias("cell")).distinct()
+    fine = radius / dims**0.5 / fineness
+    at = written(points.select("id", *names, *cell_keys(names, radius)).join(met, cs).select("cell", F.xxhash64(*[F.floor(F.col(n) / fine) for n in names]).alias("part"), "id", *names), "boundary")
+    parts = at.groupBy("cell", "part").agg(F.min(F.struct("id", *names)).alias("q"), *[f(n).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("low", F.min), ("high", F.max))])
+    pairs = near.select(F.col("x.id").alias("xid"), F.col("y.id").alias("yid"), F.col("x.c").alias("a"), F.col("y.c").alias("b"), *[F.col(f"y.{c}").alias(f"y{c}") for c in box])
+    left = pairs.join(parts.select(F.col("cell").alias("xid"), F.col("part").alias("xpart"), F.col("q").alias("xq"), *[F.col(c).alias(f"x{c}") for c in box]), "xid").where(_gap2("x", "y", dims) <= slack)
+    left = left.drop(*[f"y{c}" for c in box])
+    right = parts.select(F.col("cell").alias("yid"), F.col("part").alias("ypart"), F.col("q").alias("yq"), *[F.col(c).alias(f"y{c}") for c in box])
+    open_pairs = written(
+        left.join(right, "yid").where(_gap2("x", "y", dims) <= slack).withColumn("sure", distance2("xq", "yq", names) <= limit).drop("xq", "yq"), "pairs"
+    )
+    sure = written(open_pairs.where("sure").select("a", "b").distinct(), "sure")
+    rest = open_pairs.join(sure, ["a", "b"], "left_anti").drop("sure")
 
-    wide = 2 * radius
-    for finest in (False, True):
-        full = written(at.join(groups, "id").withColumn("_part", F.xxhash64(*[F.floor(F.col(n) * 8 / side) for n in names])), "cells")
-        cells = full.groupBy(*cs).agg(F.min("c").alias("c"), *[F.min(n).alias(f"low{i}") for i, n in enumerate(names)], *[F.max(n).alias(f"high{i}") for i, n in enumerate(names)])
-        top = cells.groupBy("c").count().orderBy(F.desc("count"), "c").limit(1).collect()
-        if not top:
-            return groups
-        # a cell is looked up in every wide cell that its surroundings touch
-        spans = [F.sequence(F.floor((F.col(f"low{i}") - radius) / wide), F.floor((F.col(f"high{i}") + radius) / wide)) for i in range(dims)]
-        asking = cells.where(F.col("c") != top[0]["c"]).select(F.struct(*cells.columns).alias("x"), *[s.alias(f"s{i}") for i, s in enumerate(spans)])
-        for i in range(dims):
-            asking = asking.withColumn(f"w{i}", F.explode(f"s{i}"))
-        held = cells.select(F.struct(*cells.columns).alias("y"), *[F.sequence(F.floor(F.col(f"low{i}") / wide), F.floor(F.col(f"high{i}") / wide)).alias(f"s{i}") for i in range(dims)])
-        for i in range(dims):
-            held = held.withColumn(f"w{i}", F.explode(f"s{i}"))
-        gap2 = F.lit(0.0)
-        for i in range(dims):
-            g = F.greatest(F.lit(0.0), F.col(f"x.low{i}") - F.col(f"y.high{i}"), F.col(f"y.low{i}") - F.col(f"x.high{i}"))
-            gap2 = gap2 + g * g
-        ws = [f"w{i}" for i in range(dims)]
-        near = asking.select("x", *ws).join(held.select("y", *ws), ws).where((F.col("x.c") != F.col("y.c")) & (gap2 <= radius * radius * (1 + 1e-9))).select("x", "y").distinct()
-        who = full if finest else full.groupBy(*cs, "_part").agg(F.min_by(F.struct("id", "c", *names), "id").alias("q")).select(*cs, "q.*")
-        box2 = F.lit(0.0)
+    def off2(side: str) -> Column:
+        total = F.lit(0.0)
         for i, n in enumerate(names):
-            g = F.greatest(F.lit(0.0), F.col(f"y.low{i}") - F.col(n), F.col(n) - F.col(f"y.high{i}"))
-            box2 = box2 + g * g
-        left = near.select("x", "y", *[F.col(f"x.{c}").alias(c) for c in cs]).join(who, cs).where(box2 <= radius * radius * (1 + 1e-9))
-        a = left.select(F.struct("c", *names).alias("a"), *[F.col(f"y.{c}").alias(c) for c in cs])
-        b = who.select(F.struct("c", *names).alias("b"), *cs)
-        pairs = a.join(b, cs).where((F.col("a.c") != F.col("b.c")) & (distance2("a", "b", names) <= radius * radius))
-        links = written(pairs.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct(), "links")
-        groups = relabelled(groups, links, written)
-    return groups
+            g = F.greatest(F.lit(0.0), F.col(f"{side}low{i}") - F.col(n), F.col(n) - F.col(f"{side}high{i}"))
+            total = total + g * g
+        return total
+
+    ours = rest.join(at.select(F.col("cell").alias("xid"), F.col("part").alias("xpart"), *names), ["xid", "xpart"]).where(off2("y") <= slack)
+    ours = ours.select("a", "b", "yid", "ypart", F.struct(*names).alias("p"))
+    theirs = at.select(F.col("cell").alias("yid"), F.col("part").alias("ypart"), F.struct(*names).alias("q"))
+    exact = ours.join(theirs, ["yid", "ypart"]).where(distance2("p", "q", names) <= limit).select("a", "b").distinct()
+    return sure.unionByName(exact)
+
+
+def linked_groups(points: DataFrame, radius: float, written: Written) -> DataFrame:
+    """id, c: the exact groups of points that chains of pairs within the radius join.
+
+    Points of a grid cell are joined at once; then cells whose sample points are within the radius; then, of
+    the groups that leaves apart, whatever ``links_across`` finds.
+    """
+    names = axis_names(points)
+    cells = written(cells_of(points, radius).withColumn("c", F.col("id")), "cells")
+    first = near_cells(cells, radius).where(distance2("x", "y", names) <= radius * radius).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    labels = relabelled(cells.select("id", "c"), first, written)
+    cells = written(cells.drop("c").join(labels, "id"), "cells")
+    labels = relabelled(labels, links_across(points, cells, radius, written), written)
+    cs = [f"c{i}" for i in range(len(names))]
+    known = cells.select("id", *cs).join(labels, "id").select(*cs, "c")
+    return points.select("id", *cell_keys(names, radius)).join(known, cs).select("id", "c")

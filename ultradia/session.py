@@ -52,6 +52,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Writes like ``written`` and deletes its tables together once nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        spark = df.sparkSession
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        self.paths.append((spark, path))
+        return spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for spark, path in self.paths:
+            remove_path(spark, path)
+        self.paths = []
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
