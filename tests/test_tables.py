@@ -50,7 +50,7 @@ def test_nearest_donor(spark):
     got = deck(spark, [(*r, "clash") for r in rows])
     assert (got["f2"].filled_value, got["f2"].donor, got["f2"].donor_scope, got["f2"].distance) == (4.0, "f3", 0, 1.0)
     assert got["f4"].donor == "f1"  # equally near is decided by the earlier one
-    assert got["f5"].was_filled and got["f5"].donor_scope == 1 and got["f5"].donor == "f3" and got["f5"].distance is None
+    assert got["f5"].was_filled and got["f5"].donor_scope == 1 and got["f5"].donor == "f1" and got["f5"].distance == 0.0  # the wider group's nearest by order
     assert got["f6"].donor_scope == 2 and got["f7"].was_filled
     assert not got["f1"].was_filled and got["f1"].donor is None
 

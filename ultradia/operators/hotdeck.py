@@ -1,99 +1,81 @@
 """Missing values from similar records: a sequential hot deck over nested groups.
 
 Records are sorted within groups; a missing value takes that of the nearest earlier or later
-record of its group that has one. A group without any takes it from the nearest group of the next
-wider group, and so on outwards. Wider levels work on one row per group (its first and last donor),
-so no window ever holds more than a group of records or the groups of one parent.
+record of its group that has one. A group without any takes the nearest donor of the next wider
+group, and so on outwards. Wider levels work on the first and last donor of each distinct order, and every
+level is ordered in blocks of the order, so that a group of a third of all records is no single task's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Blocks into which the orders of all records are cut, about evenly.
+BLOCKS = 64
 
-def _first_found(found: DataFrame, at: Sequence[str], depths: int) -> DataFrame:
-    """at, _out (donor of the narrowest level that has one), _scope."""
-    outs = [f"_out{d}" for d in range(depths, 0, -1)]
-    scope = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(i + 1)) for i, c in enumerate(outs)])
-    return found.select(*at, F.coalesce(*outs).alias("_out"), scope.alias("_scope"))
-
-
-def _nearest_outside(base: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Donor of every group and order from the wider levels, from the first and last donor per parent group and distinct order."""
-    ends = base.groupBy(*keys, "_o").agg(F.min("_donor").alias("_first"), F.max("_donor").alias("_last"))
-    outside = ends.select(*keys, "_o")
-    for depth in range(len(keys), 0, -1):
-        parent = keys[: depth - 1]
-        ends = ends.groupBy(*parent, "_o").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
-        before = Window.partitionBy(*parent).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-        after = Window.partitionBy(*parent).orderBy(F.desc("_o")).rowsBetween(Window.unboundedPreceding, -1)
-        here = ends.withColumn("_prev", F.last("_last", ignorenulls=True).over(before)).withColumn("_next", F.last("_first", ignorenulls=True).over(after))
-        back, ahead = F.col("_o") - F.col("_prev.o"), F.col("_next.o") - F.col("_o")
-        near = F.when(F.col("_next").isNull() | (back <= ahead), F.col("_prev")).otherwise(F.col("_next"))
-        outside = outside.join(here.select(*parent, "_o", F.coalesce("_first", near).alias(f"_out{depth}")), [*parent, "_o"], "left")
-    return _first_found(outside, [*keys, "_o"], len(keys))
-
-
-def _neighbour_group(base: DataFrame, keys: Sequence[str], nearest: Callable[..., Column]) -> DataFrame:
-    """Donor of every group from the group before or after it, from the first and last donor per group."""
-    groups = base.groupBy(*keys).agg(F.min("_donor").alias("_first"), F.max("_donor").alias("_last"))
-    outside: DataFrame | None = None
-    for depth in range(len(keys), 0, -1):
-        parent, child = keys[: depth - 1], keys[depth - 1]
-        here = groups.withColumn("_prev", nearest(parent, [child], "_last", True)).withColumn("_next", nearest(parent, [child], "_first", False))
-        found = here.select(*keys[:depth], F.coalesce("_prev", "_next").alias(f"_out{depth}"))
-        outside = found if outside is None else outside.join(found, keys[:depth], "left")
-        groups = groups.groupBy(*parent).agg(
-            F.min_by("_first", F.when(F.col("_first").isNotNull(), F.col(child))).alias("_first"),
-            F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col(child))).alias("_last"),
-        )
-    return _first_found(outside, keys, len(keys))
-
-
-def hot_deck(records: DataFrame, record: str, levels: Sequence[str], order: str, value: str, nearest_outside: bool = False) -> DataFrame:
-    """Fill ``value`` where it is null.
 
-    ``levels`` are nested group columns from wide to narrow, ``order`` a number by which records of
-    the narrowest group are sorted (ties by ``record``). Adds: filled_value, was_filled, donor (its
-    record), donor_scope (0: same narrowest group, 1: same group one level wider, ...), distance
-    (difference in order within the narrowest group, else null). Of two equally near donors the
-    earlier one gives. Without any donor in the whole table the value stays null and was_filled is
-    false. With ``nearest_outside`` the wider levels also take the donor nearest by ``order`` (of
-    equal ones the earlier, of the same order the first record) and give its distance; without it
-    they take the last donor of the group before. Null group keys are a group of their own. Columns of the input named like a result are
-    replaced by it. No records, no rows.
-    """
-    keys = [f"_k{i}" for i in range(len(levels))]
-    base = records.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(keys, levels)})
-    base = base.withColumn("_o", F.coalesce(F.col(order).cast("double"), F.lit(0.0))).withColumn("_r", F.col(record).cast("string"))
-    donor = F.when(F.col(value).isNotNull(), F.struct(F.col("_o").alias("o"), F.col("_r").alias("r"), F.col(value).alias("v")))
-    base = base.withColumn("_donor", donor)
+def _neighbours(rows: DataFrame, keys: Sequence[str], at: Sequence[str]) -> DataFrame:
+    """rows with _prev and _next: the donor (_last, _first) of the nearest rows before and after, by ``at`` within ``keys``.
 
-    def nearest(parts: Sequence[str], at: Sequence[str], what: str, forward: bool) -> Column:
-        cols = [F.asc(c) if forward else F.desc(c) for c in at]
-        w = Window.partitionBy(*parts).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    Within a block (_b) by a window over its rows; beyond it from the first and last donor per block.
+    """
+    def nearest(parts: Sequence[str], cols: Sequence[str], what: str, forward: bool) -> Column:
+        w = Window.partitionBy(*parts).orderBy(*[F.asc(c) if forward else F.desc(c) for c in cols]).rowsBetween(Window.unboundedPreceding, -1)
         return F.last(what, ignorenulls=True).over(w)
 
-    if nearest_outside:
-        outside, joint = _nearest_outside(base, keys), [*keys, "_o"]
-    else:
-        outside, joint = _neighbour_group(base, keys, nearest), keys
-    own = base.withColumn("_prev", nearest(keys, ["_o", "_r"], "_donor", True)).withColumn("_next", nearest(keys, ["_o", "_r"], "_donor", False))
+    block = [*keys, "_b"]
+    ends = rows.groupBy(*block).agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    ends = ends.select(*block, nearest(keys, ["_b"], "_last", True).alias("_before"), nearest(keys, ["_b"], "_first", False).alias("_after"))
+    here = rows.withColumn("_prev", nearest(block, at, "_last", True)).withColumn("_next", nearest(block, at, "_first", False)).join(ends, block)
+    return here.withColumns({"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")}).drop("_before", "_after")
+
+
+def _nearer() -> Column:
+    """The nearer of _prev and _next by order; of equally near ones the earlier."""
     back, ahead = F.col("_o") - F.col("_prev.o"), F.col("_next.o") - F.col("_o")
-    inside = F.when(F.col("_next").isNull() | (back <= ahead), F.col("_prev")).otherwise(F.col("_next"))
+    return F.when(F.col("_next").isNull() | (back <= ahead), F.col("_prev")).otherwise(F.col("_next"))
+
+
+def hot_deck(records: DataFrame, record: str, levels: Sequence[str], order: str, value: str, within: Sequence[str] = ()) -> DataFrame:
+    """Fill ``value`` where it is null.
+
+    ``levels`` are nested group columns from wide to narrow, ``order`` a number by which records are
+    sorted (ties by ``record``). Adds: filled_value, was_filled, donor (its record), donor_scope (0: same narrowest group,
+    1: same group one level wider, ...), distance (difference in order). Of two equally near donors the
+    earlier one gives; from a wider group, of donors of the record's own order, the first. Nothing is ever taken from other values of
+    ``within``. Without any donor the value stays null and was_filled is false. Null group keys are a group
+    of their own; a null order is 0. Columns of the input named like a result are replaced by it. No records, no rows.
+    """
+    root = [f"_w{i}" for i in range(len(within))]
+    keys = [*root, *[f"_k{i}" for i in range(len(levels))]]
+    base = records.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(keys, [*within, *levels])})
+    base = base.withColumn("_o", F.coalesce(F.col(order).cast("double"), F.lit(0.0))).withColumn("_r", F.col(record).cast("string"))
+    cuts = base.agg(F.percentile_approx("_o", [i / BLOCKS for i in range(1, BLOCKS)], 10_000).alias("_cuts"))
+    base = base.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("_o")))).drop("_cuts")
+    donor = F.when(F.col(value).isNotNull(), F.struct(F.col("_o").alias("o"), F.col("_r").alias("r"), F.col(value).alias("v")))
+    base = base.withColumn("_first", donor).withColumn("_last", donor)
+    got = _neighbours(base, keys, ["_o", "_r"]).withColumn("_out0", _nearer()).drop("_prev", "_next", "_first", "_last")
+    ends = base.groupBy(*keys, "_b", "_o").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    for depth in range(1, len(levels) + 1):
+        parent = keys[: len(keys) - depth]
+        ends = ends.groupBy(*parent, "_b", "_o").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+        wider = _neighbours(ends, parent, ["_o"]).select(*parent, "_b", "_o", F.coalesce("_first", _nearer()).alias(f"_out{depth}"))
+        got = got.join(wider, [*parent, "_b", "_o"], "left")
+    outs = [f"_out{d}" for d in range(len(levels) + 1)]
     missing = F.col(value).isNull()
-    got = own.withColumn("_in", inside).join(outside, joint, "left").withColumn("_got", F.coalesce("_in", "_out"))
+    scope = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(i)) for i, c in enumerate(outs)])
+    got = got.withColumn("_got", F.coalesce(*outs)).withColumn("_scope", scope)
     results = {"filled_value", "was_filled", "donor", "donor_scope", "distance"}
     return got.select(
         *[c for c in records.columns if c not in results],
         F.coalesce(F.col(value), F.col("_got.v")).alias("filled_value"),
         (missing & F.col("_got").isNotNull()).alias("was_filled"),
         F.when(missing, F.col("_got.r")).alias("donor"),
-        F.when(missing & F.col("_got").isNotNull(), F.when(F.col("_in").isNotNull(), 0).otherwise(F.col("_scope"))).alias("donor_scope"),
-        F.when(missing, F.abs(F.col("_got.o" if nearest_outside else "_in.o") - F.col("_o"))).alias("distance"),
+        F.when(missing, F.col("_scope")).alias("donor_scope"),
+        F.when(missing, F.abs(F.col("_got.o") - F.col("_o"))).alias("distance"),
     )
 
 
@@ -134,27 +116,24 @@ def filled_fields(features: DataFrame, flies: DataFrame, strains: DataFrame) ->
         .groupBy(*by_fly)
         .agg(F.min("strain").alias("strain"), F.lower(F.substring(F.min(F.trim("sex")), 1, 1)).alias("sex"), F.min(F.trim("treatment")).alias("treatment"))
     )
-    genotypes = hot_deck(known.select(*by_fly, "strain", *place), "fly_id", ["experiment_id", "monitor"], "channel", "strain", nearest_outside=True)
-
-    def common(df: DataFrame, field: str, value: str) -> DataFrame:
-        return df.select(
-            *by_fly,
-            F.lit(field).alias("field"),
-            F.col(value).cast("string").alias("value"),
-            F.col("filled_value").cast("string").alias("filled_value"),
-            F.col(value).isNull().alias("was_missing"),
-            "was_filled",
-            "donor",
-            "donor_scope",
-            "distance",
-        )
-
     alike = known.groupBy("fly_id").agg(F.min(F.concat_ws("|", "strain", "sex", "treatment")).alias("alike"))
     per_fly = features.groupBy(*by_fly).agg(
         F.min(in_range("p_doze_mean", 0.0, 1.0)).alias("p_doze_mean"), F.min(in_range("total_sleep_mean", 0.0, 1440.0)).alias("total_sleep_mean")
     )
-    rows = per_fly.join(alike, "fly_id", "left").select(*by_fly, "p_doze_mean", "total_sleep_mean", "alike", *place)
-    out = common(genotypes, "genotype", "strain")
-    for field in ("p_doze_mean", "total_sleep_mean"):
-        out = out.unionByName(common(hot_deck(rows, "fly_id", ["experiment_id", "monitor", "alike"], "channel", field, nearest_outside=True), field, field))
-    return out
+    # one deck for all fields: what differs is the narrowest group, which genotypes do without
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in ("p_doze_mean", "total_sleep_mean")]))
+    numbers = per_fly.join(alike, "fly_id", "left").select(*by_fly, "alike", *place, pairs.alias("x")).select(*by_fly, "alike", "monitor", "channel", "x.field", "x.value")
+    strains_ = known.select(*by_fly, F.lit("").alias("alike"), *place, F.lit("genotype").alias("field"), F.col("strain").alias("value"))
+    filled = hot_deck(numbers.unionByName(strains_), "fly_id", ["experiment_id", "monitor", "alike"], "channel", "value", within=["field"])
+    none = F.col("field") == "genotype"
+    return filled.select(
+        *by_fly,
+        "field",
+        "value",
+        "filled_value",
+        F.col("value").isNull().alias("was_missing"),
+        "was_filled",
+        "donor",
+        F.when(none, F.greatest(F.col("donor_scope") - 1, F.lit(0))).otherwise(F.col("donor_scope")).alias("donor_scope"),
+        "distance",
+    )

@@ -15,7 +15,14 @@ from ultradia.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-TESTED = ("total_sleep_mean_z", "night_sleep_mean_z", "p_wake_mean_z", "mesor_mean_z", "amplitude_mean_z")
+#: The numeric columns of the features table, in its order.
+NUMERIC = (
+    "mesor_mean", "mesor_sd", "amplitude_mean", "amplitude_sd", "phase_mean", "phase_sd", "rhythmic_days", "periodogram_period_mean", "periodogram_period_sd", "periodogram_power_mean",
+    "activity_onset_zt_mean", "activity_onset_zt_sd", "activity_offset_zt_mean", "activity_offset_zt_sd", "interdaily_stability", "total_sleep_mean", "day_sleep_mean", "night_sleep_mean",
+    "total_bouts_mean", "day_bouts_mean", "night_bouts_mean", "mean_bout_mean", "max_bout_mean", "mean_day_bout_mean", "max_day_bout_mean", "mean_night_bout_mean", "max_night_bout_mean",
+    "frag_bouts_per_hour_mean", "frag_bouts_per_min_sleep_mean", "mean_wake_bout_mean", "p_wake_mean", "p_doze_mean", "sleep_latency_mean", "waso_mean",
+)
+TESTED = tuple(f"{c}_z" for c in NUMERIC if c != "rhythmic_days")
 
 
 def query(sql: str | None = None) -> Callable:
@@ -46,13 +53,13 @@ def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """feature, grp, value of every z column. The SQL below lists TESTED only."""
+    """feature, grp, value of every z column."""
     z = features_z(spark, sf_dir)
     return stats.long_features(z, clean.feature_columns(z, "_z"), "genotype")
 
 
 _NULLED = "SELECT * REPLACE (" + ", ".join(
-    f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in ("total_sleep_mean", "total_bouts_mean", "p_doze_mean", "day_bouts_mean", "night_bouts_mean", "sleep_latency_mean")
+    f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in NUMERIC if c != "rhythmic_days"
 ) + ") FROM features"
 FEATURES = BASE + f", ft AS (SELECT x.*, genotype, sex, treatment FROM ({_NULLED}) x LEFT JOIN fly USING (fly_id))\n"
 _UNPIVOT = " UNION ALL ".join(f"SELECT '{c}' AS feature, genotype AS grp, {c} AS value FROM fz WHERE genotype IS NOT NULL AND {c} IS NOT NULL AND NOT isnan({c})" for c in TESTED)
@@ -102,29 +109,26 @@ def n_nan_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("feature_id", "day_bouts_mean", "night_bouts_mean", r6("sleep_latency_mean"))
 
 
-_Z = ("total_sleep_mean", "total_bouts_mean", "p_doze_mean")
-
-
-@query(FEATURES + "SELECT feature_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 6) AS {c}_z" for c in _Z) + " FROM ft")
+@query(FEATURES + "SELECT feature_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 6) AS {c}_z" for c in NUMERIC) + " FROM ft")
 def n_z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Z-scores of all numeric columns over all rows. The SQL lists three."""
+    """Z-scores of all numeric columns over all rows."""
     f = features(spark, sf_dir)
     cols = clean.feature_columns(f)
     z = clean.z_scored(f.select("feature_id", *cols), cols)
     return z.select("feature_id", *[r6(f"{c}_z") for c in cols])
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS NULL OR isnan({c})) AS n_null, count(*) AS n FROM features" for c in ("mesor_mean", "total_sleep_mean", "p_doze_mean", "waso_mean")))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS NULL OR isnan(CAST({c} AS DOUBLE))) AS n_null, count(*) AS n FROM features" for c in NUMERIC))
 def n_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every numeric column. The SQL lists four."""
+    """Every numeric column."""
     f = clean.without_nan(table(spark, sf_dir, "features"))
     return clean.null_counts(f, clean.feature_columns(f))
 
 
-@query(LONG + "SELECT grp AS genotype, feature, round(avg(value), 6) AS mean_z, count(*) AS n FROM long GROUP BY 1, 2")
+@query(LONG + "SELECT grp AS genotype, feature, round(avg(value), 10) AS mean_z, round(stddev_samp(value), 6) AS sd_z, count(*) AS n FROM long GROUP BY 1, 2")
 def a_genotype_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean z of each genotype."""
-    return long_z(spark, sf_dir).groupBy(F.col("grp").alias("genotype"), "feature").agg(r6(F.avg("value"), "mean_z"), F.count(F.lit(1)).alias("n"))
+    """Mean and deviation of z of each genotype (means to ten places: six would round ties of short numbers)."""
+    return long_z(spark, sf_dir).groupBy(F.col("grp").alias("genotype"), "feature").agg(F.round(F.avg("value"), 10).alias("mean_z"), r6(F.stddev_samp("value"), "sd_z"), F.count(F.lit(1)).alias("n"))
 
 
 @query(LONG + "SELECT grp, feature, round(quantile_cont(value, 0.5), 8) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 8) AS iqr, count(*) AS n FROM long GROUP BY 1, 2")
@@ -248,11 +252,11 @@ def s_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 # clusters and models -----------------------------------------------------------------------------
 
 @query(
-    "WITH x AS (SELECT label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)) + " FROM embeddings WHERE label IS NOT NULL), c AS (SELECT label, count(*) AS n, "
-    + ", ".join(f"avg(e{i}) AS m{i}, var_pop(e{i}) AS v{i}" for i in range(8)) + " FROM x GROUP BY 1), g AS (SELECT " + ", ".join(f"avg(e{i}) AS g{i}" for i in range(8)) + " FROM x), "
-    + "d AS (SELECT x.label, avg(sqrt(" + " + ".join(f"(x.e{i} - m{i}) ** 2" for i in range(8)) + ")) AS s FROM x JOIN c USING (label) GROUP BY 1), "
-    + "w AS (SELECT a.label, max((da.s + db.s) / sqrt(" + " + ".join(f"(a.m{i} - b.m{i}) ** 2" for i in range(8)) + ")) AS r FROM c a JOIN c b ON a.label <> b.label JOIN d da ON da.label = a.label JOIN d db ON db.label = b.label GROUP BY 1), "
-    + "t AS (SELECT CAST(sum(n) AS BIGINT) AS n, count(*) AS clusters, sum(n * (" + " + ".join(f"(m{i} - g{i}) ** 2" for i in range(8)) + ")) AS b, sum(n * (" + " + ".join(f"v{i}" for i in range(8)) + ")) AS w FROM c CROSS JOIN g) "
+    "WITH x AS (SELECT label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(64)) + " FROM embeddings WHERE label IS NOT NULL), c AS (SELECT label, count(*) AS n, "
+    + ", ".join(f"avg(e{i}) AS m{i}, var_pop(e{i}) AS v{i}" for i in range(64)) + " FROM x GROUP BY 1), g AS (SELECT " + ", ".join(f"avg(e{i}) AS g{i}" for i in range(64)) + " FROM x), "
+    + "d AS (SELECT x.label, avg(sqrt(" + " + ".join(f"(x.e{i} - m{i}) ** 2" for i in range(64)) + ")) AS s FROM x JOIN c USING (label) GROUP BY 1), "
+    + "w AS (SELECT a.label, max((da.s + db.s) / sqrt(" + " + ".join(f"(a.m{i} - b.m{i}) ** 2" for i in range(64)) + ")) AS r FROM c a JOIN c b ON a.label <> b.label JOIN d da ON da.label = a.label JOIN d db ON db.label = b.label GROUP BY 1), "
+    + "t AS (SELECT CAST(sum(n) AS BIGINT) AS n, count(*) AS clusters, sum(n * (" + " + ".join(f"(m{i} - g{i}) ** 2" for i in range(64)) + ")) AS b, sum(n * (" + " + ".join(f"v{i}" for i in range(64)) + ")) AS w FROM c CROSS JOIN g) "
     + "SELECT n, clusters, round(b * (n - clusters) / (w * (clusters - 1)), 4) AS calinski_harabasz, round((SELECT avg(r) FROM w), 4) AS davies_bouldin FROM t"
 )
 def m_cluster_measures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,8 @@ def p2_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_filled(spark, sf_dir).where("was_missing").select(*SOURCE, "field")
+    """What the deck filled, and what it found no donor for."""
+    return p2_filled(spark, sf_dir).where("was_filled or filled_value is null").select(*SOURCE, "field")
 
 
 # 3 -------------------------------------------------------------------------------------------
