@@ -1,7 +1,7 @@
 """Items packed into containers of fixed capacity: non-negative least squares on the histogram of lengths.
 
 1. Count the items of each length (a histogram of at most capacity + 1 numbers: all the driver sees).
-2. Enumerate shallow combinations of lengths that fill a container, and solve for how often to
+2. Enumerate the combinations of at most three lengths that fill a container, and solve for how often to
    repeat each so that together they use up the histogram: non-negative least squares.
 3. Round the counts down, and pack the residual histogram greedily, longest first, each length into
    the fullest kind of container that still has room.
@@ -20,27 +20,25 @@ from pyspark.sql import functions as F
 
 from ultradia.session import written
 
-#: Combinations are of at most three lengths; lengths of the third kind are spaced so that at most this many arise.
-MOST_COMBINATIONS = 6000
+#: Rows of one length that one task ranks; a length that more items share is ranked in shares.
+SHARE = 250_000
 
 
-def combinations(lengths: np.ndarray, capacity: int, most: int = MOST_COMBINATIONS) -> list[tuple[int, ...]]:
-    """Multisets of one to three of the lengths that fill the capacity exactly; all singles and pairs, triples on a grid."""
-    there = set(lengths.tolist())
-    out = [(capacity,)] if capacity in there else []
-    out += [(a, capacity - a) for a in sorted(there, reverse=True) if 2 * a >= capacity and a < capacity and capacity - a in there]
-    room = max(0, most - len(out))
-    triples = [(a, b, capacity - a - b) for a in sorted(there) for b in range(max(1, (capacity - a + 1) // 2), min(a, capacity - a - 1) + 1) if b in there and capacity - a - b in there] if len(there) <= 256 else None
-    if triples is None:
-        # evenly spaced longest members, so that every region of the histogram is met
-        longest = sorted(a for a in there if 3 * a >= capacity)
-        step = max(1, len(longest) * 600 // max(1, most))
-        triples = [(a, b, capacity - a - b) for a in longest[::step] for b in range((capacity - a + 1) // 2, min(a, capacity - a - 1) + 1) if b in there and capacity - a - b in there]
-    stride = max(1, -(-len(triples) // room)) if room else len(triples) + 1
-    return out + triples[::stride]
+def combinations(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """All multisets of one to three of the lengths that fill the capacity exactly: rows of three, longest first, 0 where there is none."""
+    there = np.zeros(capacity + 1, bool)
+    there[lengths] = True
+    there[0] = True
+    a = np.flatnonzero(there)[None, :]
+    b = np.flatnonzero(there)[:, None]
+    c = capacity - a - b
+    fit = (a >= b) & (b >= c) & (c >= 0)
+    at_b, at_a = np.nonzero(fit)
+    out = np.column_stack([a[0, at_a], b[at_b, 0], c[at_b, at_a]])
+    return out[there[out[:, 2]] & (out[:, 0] > 0)]
 
 
-def solve_nnls(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int, h: np.ndarray, steps: int = 400) -> np.ndarray:
+def solve_nnls(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int, h: np.ndarray, steps: int = 200) -> np.ndarray:
     """x >= 0 that minimises |A x - h|, A sparse by triples; accelerated projected gradient."""
     def times(x: np.ndarray) -> np.ndarray:
         return np.bincount(rows, vals * x[cols], len(h))
@@ -107,15 +105,15 @@ def plan_kinds(histogram: dict[int, int], capacity: int) -> list[tuple[Counter,
     """All kinds of containers with their counts; together they hold exactly the histogram. Lengths are 1 to capacity."""
     left = Counter({k: v for k, v in histogram.items() if v > 0})
     kinds: list[tuple[Counter, int]] = []
-    combos = combinations(np.array(sorted(left)), capacity) if left else []
-    if combos:
-        at = {length: i for i, length in enumerate(sorted(left))}
-        h = np.array([left[k] for k in sorted(left)], float)
-        triples = [(at[k], j, float(c)) for j, combo in enumerate(combos) for k, c in Counter(combo).items()]
-        rows, cols, vals = (np.array(z) for z in zip(*triples))
-        x = solve_nnls(rows, cols, vals.astype(float), len(combos), h)
-        for j in np.argsort(-x, kind="stable"):
-            combo = Counter(combos[j])
+    combos = combinations(np.array(sorted(left)), capacity) if left else np.zeros((0, 3), int)
+    if len(combos):
+        h = np.zeros(capacity + 1)
+        h[list(left)] = list(left.values())
+        col, part = np.nonzero(combos)
+        x = solve_nnls(combos[col, part], col, np.ones(len(col)), len(combos), h)
+        whole = np.flatnonzero(x >= 1 - 1e-6)
+        for j in whole[np.argsort(-x[whole], kind="stable")]:
+            combo = Counter(int(k) for k in combos[j] if k)
             count = min(int(x[j] + 1e-6), *(left[k] // c for k, c in combo.items()))
             if count > 0:
                 kinds.append((combo, count))
@@ -147,23 +145,25 @@ def pieces(items: DataFrame, key: str, length: str, capacity: int) -> DataFrame:
     return cut.select(key, "piece", start.alias("token_start"), F.least(F.lit(capacity).cast("long"), F.col("_n") - start).alias("n_tokens"))
 
 
-def pack(items: DataFrame, key: str, length: str, capacity: int = 2048, salts: int = 16) -> DataFrame:
+def pack(items: DataFrame, key: str, length: str, capacity: int = 2048, share: int = SHARE) -> DataFrame:
     """Every piece with its container: key, piece, token_start, n_tokens, container_id, container_start.
 
     Items longer than the capacity are cut at multiples of it, no others; items of length 0 or null
     take no room and have null container_id and container_start. The pieces of a container lie one after the other from
     container_start 0. ``items`` is read twice (the histogram, the assignment), so give a written
-    table. Keys that repeat are separate items. A length that most items share is ranked in
-    ``salts`` shares, whose sizes (at most capacity x salts rows) give each share its first rank.
+    table. Keys that repeat are separate items. A length that many items share is ranked in shares of
+    about ``share`` items, whose sizes (a row per length and share) give each share its first rank.
     No items, no rows.
     """
     spark = items.sparkSession
-    placed = pieces(items, key, length, capacity).withColumn("_salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
+    cut = pieces(items, key, length, capacity)
+    histogram = {int(r["n_tokens"]): int(r["n"]) for r in cut.where("n_tokens > 0").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
+    split = _table(spark, [(k, n // share + 1) for k, n in histogram.items()], "n_tokens long, _shares int")
+    placed = cut.join(F.broadcast(split), "n_tokens", "left").withColumn("_salt", F.pmod(F.xxhash64(key, "piece"), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
     shares = placed.where("n_tokens > 0").groupBy("n_tokens", "_salt").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("n_tokens").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     where_first = shares.withColumn("_first", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     where_first = written(where_first, "shares")
-    histogram = {int(r["n_tokens"]): int(r["n"]) for r in where_first.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}
     rows = layout(plan_kinds(histogram, capacity))
     where_first = where_first.drop("n")
     where_to = _table(spark, rows, "n_tokens long, _from long, _end long, _each long, _container long")

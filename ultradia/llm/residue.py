@@ -135,7 +135,7 @@ def _literal(terms: Sequence[str]) -> Column:
 
 
 def evidence(documents: DataFrame) -> DataFrame:
-    """doc_id, address (hash of agenda_id), source, title (agenda_item), parts (each segment with the one before), is_placeholder.
+    """doc_id, address (hash of agenda_id), source, title (agenda_item), parts (segments), repeats (which of them are the same as the one before), is_placeholder.
 
     is_placeholder: template syntax in the whole text. Null and blank texts have no segments.
     """
@@ -146,8 +146,8 @@ def evidence(documents: DataFrame) -> DataFrame:
         F.lower(F.coalesce("agenda_item", F.lit(""))).alias("title"),
         F.coalesce(without_quotes(F.col("text")), F.lit("")).alias("body"),
     )
-    signs = F.lit(False)
-    for sign in ("{", "@@", "<%", "[[", "%", "$"):
+    signs = F.contains("body", F.lit("%")) & F.col("body").rlike("%[A-Za-z(]") | F.contains("body", F.lit("$")) & F.col("body").rlike(r"\$[A-Za-z]")
+    for sign in ("{", "@@", "<%", "[["):
         signs = signs | F.contains("body", F.lit(sign))
     cut = rows.withColumn("cut", segments(F.col("body")))
     before = F.concat(F.array(F.lit("")), F.slice("cut", 1, F.greatest(F.size("cut") - 1, F.lit(0))))
@@ -156,17 +156,18 @@ def evidence(documents: DataFrame) -> DataFrame:
         "address",
         "source",
         "title",
-        F.arrays_zip(F.col("cut").alias("raw"), before.alias("before")).alias("parts"),
-        F.when(signs, F.regexp_replace(F.lower("body"), "[\\h\t]+", " ").rlike(SYNTAX_RE)).otherwise(False).alias("is_placeholder"),
+        F.col("cut").alias("parts"),
+        F.zip_with("cut", before, lambda x, y: x == y).alias("repeats"),
+        F.when(signs, F.lower("body").rlike(SYNTAX_RE)).otherwise(False).alias("is_placeholder"),
     )
 
 
 def raw_signatures(kept: DataFrame) -> DataFrame:
     """One row per segment as it is written: raw_key, part (folded), key (its hash), n, runs (rows of itself count once), low, high (hashes of addresses), alone (three segments at most)."""
-    found = kept.select("address", F.size("parts").alias("size"), F.explode("parts").alias("p")).where("p.raw != ''")
+    found = kept.select("address", F.size("parts").alias("size"), F.explode(F.arrays_zip(F.col("parts").alias("raw"), "repeats")).alias("p")).where("p.raw != ''")
     grouped = found.groupBy(F.col("p.raw").alias("raw")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("p.before") == F.col("p.raw"), 0).otherwise(1)).alias("runs"),
+        F.sum(F.when(F.col("p.repeats"), 0).otherwise(1)).alias("runs"),
         F.min("address").alias("low"),
         F.max("address").alias("high"),
         F.min("size").alias("least"),
@@ -249,7 +250,7 @@ def residue(documents: DataFrame, written: Written, enough: int = 4) -> DataFram
     raw = written(raw_signatures(kept), "segments")
     parts = written(signatures(raw), "signatures")
     verdict = written(raw.select("raw_key", "key").join(judged(counted(parts)), "key"), "verdicts")
-    found = kept.select("doc_id", "source", "title", F.explode("parts").alias("p")).select("doc_id", "source", "title", F.col("p.raw").alias("raw"), F.xxhash64("p.raw").alias("raw_key"))
+    found = kept.select("doc_id", "source", "title", F.explode("parts").alias("raw")).withColumn("raw_key", F.xxhash64("raw"))
     # a response that shares terms with a title it stands under, anywhere, is none
     shared = F.size(F.array_intersect(F.filter(F.split("title", r"[^\p{L}]+"), lambda t: F.length(t) > 3), F.split(F.lower("raw"), r"[^\p{L}]+")))
     keyed = written(found.join(verdict, "raw_key").withColumn("titled", (F.col("points") >= 3) & (shared >= 2)).drop("raw", "title", "raw_key"), "hits")
