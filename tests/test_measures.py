@@ -91,16 +91,17 @@ def test_a_period_needs_a_day(spark):
 
 def test_grid_marks_and_keeps(spark):
     hours = [0, 1, 2, 5, 9, 30, 31, 80]
-    rows = [(1, "a", T0 + dt.timedelta(hours=h, minutes=7), "MT", h + 1) for h in hours] + [(1, "b", T0, "MT", 3), (1, "c", T0, "MT", 2000), (1, "d", T0, "CT", 2)]
+    rows = [(1, "a", T0 + dt.timedelta(hours=h, minutes=7), "MT", h + 1) for h in hours] + [(1, "b", T0, "MT", 3), (1, "b", T0 + dt.timedelta(hours=30), "MT", 3), (1, "c", T0, "MT", 2000), (1, "d", T0, "CT", 2)]
     g = {(r.fly_id, int((r.hour - T0).total_seconds() // 3600)): (r.total, r.status) for r in grid.regular_grid(readings(spark, rows)).collect()}
     assert {k for k in g if k[0] == "a"} == {("a", h) for h in range(81)}
     assert {k[1] for k, v in g.items() if v[1] == "observed" and k[0] == "a"} == set(hours)
     assert all(g[("a", h)][0] == h + 1 for h in hours)
     assert g[("a", 3)][1] == "filled" and g[("a", 3)][0] >= 0
-    assert g[("a", 60)] == (None, "unsupported") and g[("a", 32)] == (None, "unsupported")
+    assert g[("a", 60)][1] == "filled" and g[("a", 32)][1] == "filled"  # days without readings: from the source's factors
+    assert g[("b", 5)] == (None, "unsupported")  # two observed hours cannot bear three factors
     assert g[("b", 0)] == (3.0, "observed") and not any(k[0] in "cd" for k in g)
     gaps = {(r.fly_id, int((r.gap_start - T0).total_seconds() // 3600), r.n_hours) for r in grid.hour_gaps(grid.regular_grid(readings(spark, rows))).collect()}
-    assert gaps == {("a", 3, 2), ("a", 6, 3), ("a", 10, 20), ("a", 32, 48)}
+    assert gaps == {("a", 3, 2), ("a", 6, 3), ("a", 10, 20), ("a", 32, 48), ("b", 1, 29)}
     assert grid.regular_grid(readings(spark, [])).count() == 0
 
 
@@ -125,6 +126,27 @@ def test_factors_fill_better_than_the_mean(spark):
     assert err < 0.3 * plain
 
 
+def test_whole_missing_days_are_filled_better_than_by_the_mean(spark):
+    """Held-out days of sources with a daily rhythm, against the mean of the source's hours."""
+    rng = random.Random(2)
+    rows, hidden = [], {}
+    for f in range(25):
+        size, peak = 5 + 40 * rng.random(), rng.choice((6, 9, 12))
+        for h in range(24 * 6):
+            v = int(size * (1.2 + __import__("math").cos(2 * 3.14159 * (h - peak) / 24)) + rng.random())
+            if h // 24 == 1 + f % 4:
+                hidden[(str(f), h)] = v
+            else:
+                rows.append((1, str(f), T0.replace(hour=0) + dt.timedelta(hours=h), "MT", v))
+    at = T0.replace(hour=0)
+    got = {(r.fly_id, int((r.hour - at).total_seconds() // 3600)): r.total for r in grid.regular_grid(readings(spark, rows)).where("status = 'filled'").collect()}
+    means = {}
+    for _, f, _, _, v in rows:
+        means.setdefault(f, []).append(v)
+    assert set(hidden) <= set(got)
+    assert sum(abs(got[k] - v) for k, v in hidden.items()) < 0.4 * sum(abs(statistics.mean(means[k[0]]) - v) for k, v in hidden.items())
+
+
 def test_pipeline_queries_run_on_the_smallest_tables(spark, sf):
     for name, f in pipeline.QUERIES.items():
         df = f(spark, sf)

@@ -17,7 +17,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
         F.expr("try_cast(regexp_extract(lower(w[1]), '^(?:ch)?([0-9]+)$', 1) as int)").alias("channel"),
         F.col("w")[2].alias("genotype"),
         F.col("w")[3].alias("sex"),
-        F.array_join(F.slice("w", 5, 100), " ").alias("treatment"),
+        F.array_join(F.slice("w", 5, F.greatest(F.size("w") - 4, F.lit(0))), " ").alias("treatment"),
     )
     good = cols.where(T.is_ok(F.col("genotype")) & F.col("channel").isNotNull())
     return good.select("monitor", "channel", T.fly_id(F.col("monitor"), F.col("channel")).alias("fly_id"), "genotype", "sex", "treatment")
