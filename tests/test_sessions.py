@@ -75,7 +75,7 @@ def test_a_failed_upsert_leaves_the_table(spark, monkeypatch):
     table = sessions.SessionTable(spark, scratch_path(spark, "t"), KEYS, 1800)
     first = sessions.local_sessions(events(spark, [(1, "a", 0)]), KEYS, "datetime", 1800)
     table.upsert(first)
-    monkeypatch.setattr(table, "_commit", lambda parts: (_ for _ in ()).throw(RuntimeError("lost")))
+    monkeypatch.setattr(table, "_commit", lambda *_a: (_ for _ in ()).throw(RuntimeError("lost")))
     try:
         table.upsert(sessions.local_sessions(events(spark, [(1, "a", 10)]), KEYS, "datetime", 1800))
     except RuntimeError:
@@ -83,6 +83,26 @@ def test_a_failed_upsert_leaves_the_table(spark, monkeypatch):
     assert as_set(table.sessions(first)) == {(1, "a", 0, 0, 1)}
 
 
+def test_a_batch_given_twice_counts_once(spark):
+    table = sessions.SessionTable(spark, scratch_path(spark, "t"), KEYS, 1800)
+    first = sessions.local_sessions(events(spark, [(1, "a", i) for i in range(5)]), KEYS, "datetime", 1800)
+    for _ in range(3):
+        table.upsert(first, name="one")
+    assert as_set(table.sessions(first)) == {(1, "a", 0, 4, 5)} and table.batches() == ["one"]
+    again = sessions.SessionTable(spark, table.path, KEYS, 1800, buckets=99)
+    again.upsert(first, name="one")
+    assert again.buckets == table.buckets and as_set(again.sessions(first)) == {(1, "a", 0, 4, 5)}
+
+
+def test_repeats_in_a_later_batch_are_unseen_only_once(spark):
+    old, new = events(spark, [(1, "a", 0), (1, "a", 10)]), events(spark, [(1, "a", 10), (1, "a", 20), (1, "a", 20), (2, "a", 0), (None, "a", 1)])
+    got = sessions.unseen(new, old, KEYS, "datetime")
+    table = sessions.SessionTable(spark, scratch_path(spark, "t"), KEYS, 1800)
+    for batch in (old, got):
+        table.upsert(sessions.local_sessions(batch, KEYS, "datetime", 1800))
+    assert as_set(table.sessions(sessions.local_sessions(old, KEYS, "datetime", 1800))) == {(1, "a", 0, 20, 3), (2, "a", 0, 0, 1)}
+
+
 def test_empty_table_has_no_sessions(spark):
     like = sessions.local_sessions(events(spark, []), KEYS, "datetime", 1800)
     assert sessions.SessionTable(spark, scratch_path(spark, "t"), KEYS, 1800).sessions(like).count() == 0

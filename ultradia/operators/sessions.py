@@ -71,15 +71,18 @@ def described(sessions: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 class SessionTable:
-    """Sessions stored under ``path`` in ``buckets`` parts by hash of the keys.
+    """Sessions stored under ``path`` in ``buckets`` parts by hash of the keys (as many as the session shuffles, unless given).
 
     Each upsert writes the parts that its batch touches under a new name and then puts a new list
     of parts in place by a rename, which is atomic: a reader sees all of an upsert or nothing of
-    it, and an upsert that dies leaves the table as it was. Parts no longer listed are deleted.
+    it, and an upsert that dies leaves the table as it was. The list also names the batches that are in the
+    table, so a batch that is given again changes nothing. Parts no longer listed are deleted. The number of
+    buckets is fixed when the table is made and kept in the list.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], gap_s: int, buckets: int = 8):
-        self.spark, self.path, self.keys, self.gap_s, self.buckets = spark, path.rstrip("/"), list(keys), gap_s, buckets
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], gap_s: int, buckets: int | None = None):
+        self.spark, self.path, self.keys, self.gap_s = spark, path.rstrip("/"), list(keys), gap_s
+        self.buckets = self._state().get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _fs(self):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -90,6 +93,13 @@ class SessionTable:
 
     def parts(self) -> dict[int, str]:
         """Bucket to folder, as of the last finished upsert."""
+        return {int(k): v for k, v in self._state().get("parts", {}).items()}
+
+    def batches(self) -> list[str]:
+        """Names of the batches in the table."""
+        return self._state().get("batches", [])
+
+    def _state(self) -> dict:
         fs, p = self._fs(), self._p("_parts")
         if not fs.exists(p):
             return {}
@@ -98,12 +108,12 @@ class SessionTable:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return {int(k): v for k, v in json.loads(text).items()}
+        return json.loads(text)
 
-    def _commit(self, parts: dict[int, str]) -> None:
+    def _commit(self, parts: dict[int, str], batches: list[str]) -> None:
         fs, new = self._fs(), self._p(f"_parts.{uuid.uuid4().hex}")
         out = fs.create(new, False)
-        out.write(bytearray(json.dumps(parts).encode()))
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "batches": batches, "parts": parts}).encode()))
         out.close()
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark._jsc.hadoopConfiguration())
         rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
@@ -117,13 +127,16 @@ class SessionTable:
     def _read(self, folders: Sequence[str], like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.select(*self.keys, "start_us", "end_us", "n_events").schema).parquet(*[f"{self.path}/{x}" for x in folders])
 
-    def upsert(self, batch: DataFrame, touched: Sequence[int] | None = None) -> None:
-        """Merge the local sessions of a batch into the table.
+    def upsert(self, batch: DataFrame, touched: Sequence[int] | None = None, name: str | None = None) -> None:
+        """Merge the local sessions of a batch into the table; one whose ``name`` is in it already is left out.
 
+        Events that repeat earlier ones are the caller's to drop (``unseen``), as sessions no longer know their events.
         ``touched``: the buckets the batch can touch, where the caller knows; else they are looked
         up (at most ``buckets`` numbers).
         """
         batch = batch.select(*self.keys, "start_us", "end_us", "n_events")
+        if name is not None and name in self.batches():
+            return
         if touched is None:
             touched = [r[0] for r in batch.select(self._bucket().alias("b")).distinct().collect()]
         if not touched:
@@ -132,13 +145,13 @@ class SessionTable:
         stored = [before[b] for b in touched if b in before]
         both = batch.unionByName(self._read(stored, batch)) if stored else batch
         merged = merge_sessions(both, self.keys, self.gap_s)
-        name = f"part-{uuid.uuid4().hex}"
-        merged.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        folder = f"part-{uuid.uuid4().hex}"
+        merged.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         fs, now = self._fs(), dict(before)
         for b in touched:
-            if fs.exists(self._p(f"{name}/bucket={b}")):
-                now[b] = f"{name}/bucket={b}"
-        self._commit(now)
+            if fs.exists(self._p(f"{folder}/bucket={b}")):
+                now[b] = f"{folder}/bucket={b}"
+        self._commit(now, self.batches() + ([name] if name is not None else []))
         for b in touched:
             if b in before and before[b] != now[b]:
                 remove_path(self.spark, f"{self.path}/{before[b]}")
@@ -149,6 +162,12 @@ class SessionTable:
         return self._read(sorted(parts.values()), like) if parts else like.select(*self.keys, "start_us", "end_us", "n_events").limit(0)
 
 
+def unseen(batch: DataFrame, earlier: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """The events of a batch whose keys and time no earlier event has; one of those that repeat within the batch. Null keys or times are left out."""
+    at = [*keys, ts]
+    return batch.dropna(subset=at).dropDuplicates(at).join(earlier.select(*at).distinct(), at, "left_anti")
+
+
 def arrival_batch(arrival: str, low: int, high: int, n: int) -> Column:
     """0 to n - 1: equal ranges of the arrival number, as if loaded one after the other."""
     return F.least(F.lit(n - 1), F.floor((F.col(arrival) - F.lit(low)) * F.lit(n) / F.lit(high - low + 1))).cast("int")

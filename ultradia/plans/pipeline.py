@@ -27,7 +27,7 @@ def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = written(sessions.local_sessions(active, [*SOURCE, "batch"], "datetime", SESSION_GAP_S, placed_by=["blk"]), "local-sessions")
     store = sessions.SessionTable(spark, scratch_path(spark, "sessions"), SOURCE, SESSION_GAP_S)
     for i in range(ARRIVALS):
-        store.upsert(parts.where(F.col("batch") == i))
+        store.upsert(parts.where(F.col("batch") == i), name=f"arrival-{i}")
     return sessions.described(store.sessions(parts), SOURCE)
 
 

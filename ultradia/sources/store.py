@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ultradia.session import remove_path, scratch_path
+from ultradia.session import remove_path
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -27,12 +28,18 @@ def upserted(stored: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write a table in place of the one it may have been read from: written beside it first, then put there."""
-    spark = df.sparkSession
-    beside = scratch_path(spark, "replace")
-    df.write.parquet(beside)
-    spark.read.parquet(beside).write.mode("overwrite").parquet(path)
-    remove_path(spark, beside)
+    """Write a table in place of the one it may have been read from: beside it first, then put there by renaming; until then the old one stays."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    fresh, old = (f"{path}.{k}-{uuid.uuid4().hex}" for k in ("new", "old"))
+    df.write.parquet(fresh)
+    a, b, c = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, old))
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(a) and not fs.rename(a, c):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(b, a):
+        fs.rename(c, a)
+        raise OSError(f"cannot put {fresh} in place")
+    remove_path(spark, old)
 
 
 def replace_experiments(df: DataFrame, path: str) -> None:

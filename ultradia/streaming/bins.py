@@ -23,9 +23,13 @@ def session_windows(stream: DataFrame, gap_s: int = 1800, late: str = "1 hour")
     return g.select(*SOURCE, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
 
 
-def upserting(table: SessionTable, ts: str = "datetime"):
-    """A function for ``foreachBatch``: each micro-batch's sessions go into the session table."""
-    def run(batch: DataFrame, _: int) -> None:
-        table.upsert(local_sessions(batch, table.keys, ts, table.gap_s))
+def upserting(table: SessionTable, ts: str = "datetime", stream: str = "stream"):
+    """A function for ``foreachBatch``: each micro-batch's sessions go into the session table, once, however often Spark retries it.
+
+    Events that repeat within the batch count once; for repeats over batches give the stream ``dropDuplicatesWithinWatermark`` on keys and time.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        events = batch.dropDuplicates([*table.keys, ts])
+        table.upsert(local_sessions(events, table.keys, ts, table.gap_s), name=f"{stream}-{number}")
 
     return run
