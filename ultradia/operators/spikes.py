@@ -3,10 +3,10 @@
 Each source's values, in order of time, are split into undecimated Haar wavelet bands. With S_j the
 mean of the last 2^j values (S_0 the value itself), the details are D_j = S_{j-1} - S_j and
     value - level = D_1 + ... + D_J + (S_J - level).
-A spike over the level must show in at least one band: with a value above factor x level, one of
-the J + 1 bands exceeds (factor - 1) x level / (J + 1). That threshold, scaled by the source's own
-robust level (its median), picks the candidates; the exact factor then decides. A run of
-zero first details is a stuck sensor.
+A source's deviation is 1.4826 times the median size of its first differences (twice the details of the finest band). A band
+over three deviations makes a candidate; so does one over (factor - 1) x level / (J + 1),
+which a value above factor x level always has in some band, so that none is lost where a source is noisy. The
+exact factor then decides. A run of zero first details is a stuck sensor.
 """
 
 from __future__ import annotations
@@ -38,13 +38,13 @@ def source_median(rows: DataFrame, value: str, low: int, high: int) -> DataFrame
 
 
 def implausible_readings(
-    readings: DataFrame, low: int = 0, high: int = 1000, factor: float = 6.0, stuck_after: int = 12, levels: int = 3
+    readings: DataFrame, low: int = 0, high: int = 1000, factor: float = 6.0, stuck_after: int = 12, levels: int = 3, deviations: float = 3.0
 ) -> DataFrame:
     """Every counted MT reading with its flags.
 
     Columns: measurement_id, experiment_id, fly_id, datetime, value, level (the source's median of
-    readings from 1 to ``high``; null if it has none), score (the largest wavelet band over the
-    level; null without level), run_length, is_impossible, is_spike, is_stuck.
+    readings from 1 to ``high``; null if it has none), deviation (robust, of the source's first differences within days), score (the largest
+    wavelet band over the level; null without level), run_length, is_impossible, is_spike, is_stuck.
 
     * impossible: below ``low`` or above ``high``
     * spike: above ``factor`` times the level, among the wavelet candidates
@@ -85,7 +85,9 @@ def implausible_readings(
             F.max(F.when(F.col("run") == F.col("last_run"), F.col("chain_length"))).alias("last_length"),
         )
     )
-    info = chained.join(source_median(rows, "value", 1, high), SOURCE, "left")
+    steps = runs.select(*SOURCE, F.abs("_d1").alias("step"))
+    scale = source_median(steps, "step", 0, high - low).select(*SOURCE, (F.col("level") * F.lit(1.4826)).alias("deviation"))
+    info = chained.join(source_median(rows, "value", 1, high).join(scale, SOURCE, "left"), SOURCE, "left")
 
     smooth: list[Column] = [F.col("value").cast("double")]
     smooth += [F.avg("value").over(w.rowsBetween(1 - (1 << j), 0)) for j in range(1, levels + 1)]
@@ -95,7 +97,8 @@ def implausible_readings(
     bands = bands.withColumn("_smooth", smooth[levels])
     names = [F.col(f"_band{j}") for j in range(1, levels + 1)]
     flagged = bands.join(info, day, "left").withColumn("score", F.greatest(*names, F.col("_smooth") - F.col("level")) / F.col("level"))
-    candidate = F.col("score") > F.lit((factor - 1) / (levels + 1) * (1 - 1e-9))
+    threshold = F.least(deviations * F.coalesce("deviation", F.lit(0.0)) / F.col("level"), F.lit((factor - 1) / (levels + 1) * (1 - 1e-9)))
+    candidate = F.col("score") > threshold
     length = F.when(F.col("run") == 1, F.col("first_length")).when(F.col("run") == F.col("last_run"), F.col("last_length")).otherwise(F.col("_n"))
     return flagged.withColumn("run_length", length).select(
         "measurement_id",
@@ -103,6 +106,7 @@ def implausible_readings(
         "datetime",
         "value",
         "level",
+        "deviation",
         F.when(F.col("level").isNotNull(), F.col("score")).alias("score"),
         "run_length",
         (~F.col("value").between(low, high)).alias("is_impossible"),

@@ -45,19 +45,27 @@ def p1_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # 2 -------------------------------------------------------------------------------------------
 
-def p2_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hotdeck.filled_fields(table(spark, sf_dir, "features"), table(spark, sf_dir, "flies"), table(spark, sf_dir, "strains"))
 
 
+def p2_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fly and field, filled; the two numbers as numbers, the genotype as text."""
+    numbers = {k: F.expr(f"try_cast({c} as double)") for k, c in (("number", "value"), ("filled_number", "filled_value"))}
+    texts = {k: F.when(F.col("field") == "genotype", F.col(c)) for k, c in (("genotype", "value"), ("filled_genotype", "filled_value"))}
+    return filled(spark, sf_dir).withColumns(numbers | texts).drop("value", "filled_value")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the deck filled, and what it found no donor for."""
-    return p2_filled(spark, sf_dir).where("was_filled or filled_value is null").select(*SOURCE, "field")
+    return filled(spark, sf_dir).where("was_filled or filled_value is null").select(*SOURCE, "field")
 
 
 # 3 -------------------------------------------------------------------------------------------
 
 def p3_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spikes.implausible_readings(table(spark, sf_dir, "readings"))
+    flags = spikes.implausible_readings(table(spark, sf_dir, "readings"))
+    return flags.withColumns({"datetime": stamp(F.col("datetime")), "score": F.round("score", 6), "deviation": F.round("deviation", 6)})
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +78,12 @@ def p4_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.regular_grid(table(spark, sf_dir, "readings"))
 
 
+def p4_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid with the status of every hour, and the totals of the observed ones."""
+    g = p4_grid(spark, sf_dir)
+    return g.select(*SOURCE, stamp(F.col("hour")).alias("hour"), "status", F.when(F.col("status") == "observed", F.col("total")).alias("observed_total"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = grid.hour_gaps(p4_grid(spark, sf_dir))
     return gaps.select(*SOURCE, stamp(F.col("gap_start")).alias("gap_start"), stamp(F.col("gap_end")).alias("gap_end"))
@@ -114,6 +128,7 @@ QUERIES = {
     "p3_flags": p3_flags,
     "p4_found": p4_found,
     "p4_grid": p4_grid,
+    "p4_marked": p4_marked,
     "p5_found": p5_found,
     "p5_loaded": p5_loaded,
     "p6_found": p6_found,
@@ -161,6 +176,53 @@ _GENOTYPE = """SELECT f.experiment_id, f.fly_id, 'genotype' AS field FROM flies
   LEFT JOIN (SELECT lower(genotype) AS code FROM strains) s ON lower(regexp_replace(f.genotype, '^\\s+|\\s+$', '', 'g')) = s.code
   GROUP BY 1, 2 HAVING count(s.code) = 0"""
 
+_MEDIANS = """, levels AS (SELECT experiment_id, fly_id, median(value) AS level FROM mt WHERE value BETWEEN 1 AND 1000 GROUP BY 1, 2),
+marked AS (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY experiment_id, fly_id ORDER BY datetime) THEN 0 ELSE 1 END AS is_new FROM mt),
+runs AS (SELECT *, sum(is_new) OVER (PARTITION BY experiment_id, fly_id ORDER BY datetime ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+sized AS (SELECT *, count(*) OVER (PARTITION BY experiment_id, fly_id, run) AS n FROM runs)
+"""
+#: Missing values beside every donor of the same field, ranked as the deck does.
+_DECK = r"""
+WITH known AS (SELECT f.experiment_id, f.fly_id, min(s.genotype) AS strain, lower(substr(min(trim(f.sex)), 1, 1)) AS sex, min(trim(f.treatment)) AS treatment
+  FROM flies f LEFT JOIN strains s ON lower(regexp_replace(f.genotype, '^\s+|\s+$', '', 'g')) = lower(s.genotype) GROUP BY 1, 2),
+alike AS (SELECT fly_id, min(concat_ws('|', strain, sex, treatment)) AS alike FROM known GROUP BY 1),
+per AS (SELECT experiment_id, fly_id, min(CASE WHEN NOT isnan(p_doze_mean) AND p_doze_mean BETWEEN 0 AND 1 THEN p_doze_mean END) AS p_doze_mean,
+  min(CASE WHEN NOT isnan(total_sleep_mean) AND total_sleep_mean BETWEEN 0 AND 1440 THEN total_sleep_mean END) AS total_sleep_mean FROM features GROUP BY 1, 2),
+cells AS (SELECT experiment_id, fly_id, coalesce(alike, '') AS alike, 'p_doze_mean' AS field, p_doze_mean AS number, NULL AS genotype FROM per LEFT JOIN alike USING (fly_id)
+  UNION ALL SELECT experiment_id, fly_id, coalesce(alike, ''), 'total_sleep_mean', total_sleep_mean, NULL FROM per LEFT JOIN alike USING (fly_id)
+  UNION ALL SELECT experiment_id, fly_id, '', 'genotype', NULL, strain FROM known),
+placed AS (SELECT *, coalesce(regexp_extract(fly_id, '^M(.*)_Ch[0-9]+$', 1), '') AS monitor, coalesce(TRY_CAST(regexp_extract(fly_id, '_Ch([0-9]+)$', 1) AS DOUBLE), 0) AS o, number IS NULL AND genotype IS NULL AS missing FROM cells),
+pairs AS (SELECT m.experiment_id, m.fly_id, m.field, d.fly_id AS donor, d.number AS filled_number, d.genotype AS filled_genotype, abs(d.o - m.o) AS distance,
+  CASE WHEN d.experiment_id <> m.experiment_id THEN 3 WHEN d.monitor <> m.monitor THEN 2 WHEN d.alike <> m.alike THEN 1 ELSE 0 END AS scope, d.o < m.o OR (d.o = m.o AND d.fly_id < m.fly_id) AS before
+  FROM placed m JOIN placed d ON m.field = d.field AND m.missing AND NOT d.missing),
+sided AS (SELECT *, before AND NOT (scope > 0 AND distance = 0) AS back FROM pairs),
+best AS (SELECT * FROM sided QUALIFY row_number() OVER (PARTITION BY experiment_id, fly_id, field ORDER BY scope, distance, back DESC, CASE WHEN back THEN donor END DESC, donor) = 1)
+SELECT p.experiment_id, p.fly_id, p.field, p.number, p.genotype, coalesce(p.number, b.filled_number) AS filled_number, coalesce(p.genotype, b.filled_genotype) AS filled_genotype, p.missing AS was_missing,
+  b.donor IS NOT NULL AS was_filled, b.donor, CAST(CASE WHEN p.field = 'genotype' THEN greatest(b.scope - 1, 0) ELSE b.scope END AS INTEGER) AS donor_scope, b.distance
+FROM placed p LEFT JOIN best b USING (experiment_id, fly_id, field)"""
+_FIELD = r'(?: *"[^"]*(?:""[^"]*)*" *|[^"\x{E000}]*)'
+_NUMBER = r"(?:[0-9]*[1-9][0-9]*(?:\.[0-9]+)?|[0-9]+\.[0-9]*[1-9][0-9]*|\.[0-9]*[1-9][0-9]*)"
+_DOSE = _NUMBER + r" ?[mu]M [A-Za-z]{2,}"
+
+
+def _text(i: int) -> str:
+    cell = f"trim(fields[{i}], ' ')"
+    return f"""CASE WHEN five THEN replace(CASE WHEN starts_with({cell}, '"') THEN replace(substr({cell}, 2, length({cell}) - 2), '""', '"') ELSE {cell} END, chr(57344), delimiter) END"""
+
+
+_LINES = rf"""
+WITH heads AS (SELECT source_file, min(regexp_extract(raw_line, '^ *Monitor(.)Channel', 1)) AS delimiter FROM details WHERE line_no = 1 AND regexp_matches(raw_line, '^ *Monitor(.)Channel') GROUP BY 1),
+marked AS (SELECT l.*, delimiter, CASE WHEN delimiter IS NULL THEN raw_line ELSE replace(raw_line, delimiter, chr(57344)) END AS line FROM details l LEFT JOIN heads USING (source_file)),
+formed AS (SELECT *, regexp_matches(line, '^{_FIELD}(?:\x{{E000}}{_FIELD})*$') AS form FROM marked),
+cut AS (SELECT *, CASE WHEN form THEN regexp_extract_all(chr(57344) || line, '\x{{E000}}({_FIELD})', 1) END AS fields FROM formed),
+counted AS (SELECT *, coalesce(len(fields) = 5, false) AS five FROM cut),
+named AS (SELECT *, {_text(1)} AS monitor, {_text(2)} AS channel, {_text(3)} AS genotype, {_text(4)} AS sex, {_text(5)} AS treatment FROM counted),
+ruled AS (SELECT *, regexp_matches(channel, '^[cC][hH](0?[1-9]|[12][0-9]|3[0-2])$') AS good_channel, regexp_matches(treatment, '^(?:VEH|{_DOSE}(?: \+ {_DOSE})*)(?: \([^()]*\))?$') AS good_treatment FROM named
+  WHERE line_no <> 1 AND NOT regexp_matches(raw_line, '^ *$')),
+kept AS (SELECT *, CASE WHEN NOT form THEN 'quoting' WHEN NOT five THEN 'columns' WHEN NOT good_channel THEN 'channel' WHEN NOT good_treatment THEN 'treatment' END AS reason FROM ruled
+  WHERE NOT (five AND good_channel AND lower(genotype) = 'na' AND lower(sex) = 'na' AND lower(treatment) = 'na'))
+"""
+
 ORACLE = {
     "p1_found": _SESSIONS.replace("{more}", ""),
     "p1_sessions": _SESSIONS.replace("{more}", ", CAST(date_diff('second', min(datetime), max(datetime)) AS BIGINT) AS duration_s, count(*) AS n_events"),
@@ -170,18 +232,34 @@ HAVING count(*) FILTER (WHERE NOT isnan(p_doze_mean) AND p_doze_mean BETWEEN 0 A
 UNION ALL SELECT experiment_id, fly_id, 'total_sleep_mean' FROM features GROUP BY 1, 2
 HAVING count(*) FILTER (WHERE NOT isnan(total_sleep_mean) AND total_sleep_mean BETWEEN 0 AND 1440) = 0
 UNION ALL {_GENOTYPE}""",
+    "p2_filled": _DECK,
+    "p3_flags": COUNTED
+    + _MEDIANS
+    + """, steps AS (SELECT experiment_id, fly_id, abs(value - lag(value) OVER (PARTITION BY experiment_id, fly_id, CAST(datetime AS DATE) ORDER BY datetime)) AS step FROM mt),
+scales AS (SELECT experiment_id, fly_id, median(step) * 1.4826 AS deviation FROM steps WHERE step BETWEEN 0 AND 1000 GROUP BY 1, 2),
+smooth AS (SELECT *, avg(value) OVER (d ROWS 1 PRECEDING) AS s1, avg(value) OVER (d ROWS 3 PRECEDING) AS s2, avg(value) OVER (d ROWS 7 PRECEDING) AS s3
+  FROM sized WINDOW d AS (PARTITION BY experiment_id, fly_id, CAST(datetime AS DATE) ORDER BY datetime))
+SELECT measurement_id, experiment_id, fly_id, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime, value, level, round(deviation, 6) AS deviation,
+  CASE WHEN level IS NOT NULL THEN round(greatest(value - s1, s1 - s2, s2 - s3, s3 - level) / level, 6) END AS score, n AS run_length, value NOT BETWEEN 0 AND 1000 AS is_impossible,
+  coalesce(value > 6 * level, false) AS is_spike, value > 0 AND n >= 12 AS is_stuck
+FROM smooth LEFT JOIN levels USING (experiment_id, fly_id) LEFT JOIN scales USING (experiment_id, fly_id)""",
     "p3_found": COUNTED
-    + """, levels AS (SELECT experiment_id, fly_id, median(value) AS level FROM mt WHERE value BETWEEN 1 AND 1000 GROUP BY 1, 2),
-marked AS (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY experiment_id, fly_id ORDER BY datetime) THEN 0 ELSE 1 END AS is_new FROM mt),
-runs AS (SELECT *, sum(is_new) OVER (PARTITION BY experiment_id, fly_id ORDER BY datetime ROWS UNBOUNDED PRECEDING) AS run FROM marked),
-sized AS (SELECT *, count(*) OVER (PARTITION BY experiment_id, fly_id, run) AS n FROM runs)
-SELECT measurement_id FROM sized LEFT JOIN levels USING (experiment_id, fly_id)
+    + _MEDIANS
+    + """SELECT measurement_id FROM sized LEFT JOIN levels USING (experiment_id, fly_id)
 WHERE value < 0 OR value > 1000 OR value > 6 * level OR (value > 0 AND n >= 12)""",
     "p4_found": COUNTED
     + """, hours AS (SELECT DISTINCT experiment_id, fly_id, date_trunc('hour', datetime) AS h FROM usable),
 following AS (SELECT *, lead(h) OVER (PARTITION BY experiment_id, fly_id ORDER BY h) AS later FROM hours)
 SELECT experiment_id, fly_id, strftime(h + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS gap_start,
   strftime(later - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS gap_end FROM following WHERE later > h + INTERVAL 1 HOUR""",
+    "p4_marked": COUNTED
+    + """, hours AS (SELECT experiment_id, fly_id, date_trunc('hour', datetime) AS h, CAST(sum(value) AS DOUBLE) AS total FROM usable GROUP BY ALL),
+ends AS (SELECT experiment_id, fly_id, min(h) AS a, max(h) AS b, count(*) AS n FROM hours GROUP BY 1, 2),
+grid AS (SELECT e.experiment_id, e.fly_id, e.n, g.h FROM ends e, LATERAL (SELECT unnest(generate_series(e.a, e.b, INTERVAL 1 HOUR)) AS h) g)
+SELECT experiment_id, fly_id, strftime(h, '%Y-%m-%d %H:%M:%S') AS hour, CASE WHEN total IS NOT NULL THEN 'observed' WHEN n >= 3 THEN 'filled' ELSE 'unsupported' END AS status, total AS observed_total
+FROM grid LEFT JOIN hours USING (experiment_id, fly_id, h)""",
+    "p5_found": _LINES + "SELECT line_id, reason FROM kept WHERE reason IS NOT NULL",
+    "p5_loaded": _LINES + "SELECT line_id, source_file, line_no, monitor, CAST(regexp_extract(channel, '([0-9]+)', 1) AS INTEGER) AS channel, genotype, sex, treatment FROM kept WHERE reason IS NULL",
     "p6_found": _ROLLED
     + """SELECT origin, experiment_id, fly_id, strftime(day, '%Y-%m-%d') AS day FROM rolled
 WHERE date_diff('day', first_day, day) >= 29 AND total_30 > 0 AND 120 * total_7 < 7 * total_30""",
