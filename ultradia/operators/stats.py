@@ -54,6 +54,18 @@ def kruskal(long: DataFrame) -> DataFrame:
     return s.select("feature", "n", "k", "h", chi2_tail(F.col("h"), (F.col("k") - 1).cast("double")).alias("p"), eps.alias("epsilon2"))
 
 
+def dunn(long: DataFrame) -> DataFrame:
+    """feature, a, b, z (tie corrected), p for every two groups a < b: from mean ranks and counts, no group is gathered."""
+    r = ranked_counts(long)
+    g = r.groupBy("feature", "grp").agg(F.sum("n").cast("double").alias("n"), (F.sum(F.col("n") * F.col("rank")) / F.sum("n")).alias("mean"))
+    t = r.select("feature", "value", "ties").distinct().groupBy("feature").agg(F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("t"), F.sum("ties").cast("double").alias("nn"))
+    a, b = (g.select("feature", F.col("grp").alias(k), F.col("n").alias(f"n_{k}"), F.col("mean").alias(f"m_{k}")) for k in "ab")
+    pairs = a.join(b, "feature").where("a < b").join(t, "feature")
+    var = (F.col("nn") * (F.col("nn") + 1) / 12 - F.try_divide(F.col("t"), 12 * (F.col("nn") - 1))) * (1 / F.col("n_a") + 1 / F.col("n_b"))
+    z = F.try_divide(F.col("m_a") - F.col("m_b"), F.sqrt(var))
+    return pairs.withColumn("z", z).select("feature", "a", "b", "z", normal_two_sided(F.col("z")).alias("p"))
+
+
 def mann_whitney_one_vs_rest(long: DataFrame) -> DataFrame:
     """feature, grp, n1, n2, u, r (rank biserial, 2U / n1 n2 - 1), z (tie and continuity corrected), p of each group against all others.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ultradia.functions import timecols as T
-from ultradia.operators import badrows, death, health, prepared, rhythm, runs, sleep
+from ultradia.operators import badrows, death, health, prepared, removal, rhythm, runs, sleep
 from ultradia.operators.prepared import DAY
 from ultradia.operators.readings import SOURCE, counted_readings, day_stamp, stamp
 from ultradia.plans.sql import BASE, DAILY, RUNS, cosinor
@@ -192,6 +192,79 @@ def f_removal_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_stage(spark, sf_dir).where("stage = 'kept'").select("health_report_id")
 
 
+def removal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fly-days of the latest reports with what removal looks at."""
+    reports = health.latest_reports(table(spark, sf_dir, "health_reports"))
+    known = table(spark, sf_dir, "experiments").select("experiment_id", "start_date").dropDuplicates(["experiment_id"])
+    rows = reports.join(known, "experiment_id").join(flies(spark, sf_dir), "fly_id", "left")
+    return rows.withColumn("exp_day", T.exp_day(F.col("report_date"), F.col("start_date")))
+
+
+def removal_by_arguments(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """Rows staged with one set of arguments; flies are the first key of each experiment, days the first three of its last key."""
+    rows = removal_rows(spark, sf_dir)
+    keys = rows.where("monitor is not null and channel is not null").groupBy("experiment_id").agg(F.min(removal.fly_key()).alias("low"), F.max(removal.fly_key()).alias("high"))
+    first = keys.select(F.col("low").alias("fly_key"))
+    days = keys.select(F.col("high").alias("fly_key"), F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("exp_day"))
+    reports = rows.select(*SOURCE, "status")
+    given = {
+        "nothing": {},
+        "flies": {"flies": first},
+        "days": {"fly_days": days},
+        "metadata": {"genotypes": ["obd"], "sexes": ["MALE"], "treatments": ["veh"]},
+        "status": {"statuses": ["Dead", "QC_Fail"], "reports": reports},
+        "all": {"flies": first, "fly_days": days, "genotypes": ["obd"], "statuses": ["Dead"], "reports": reports},
+    }
+    return removal.staged(rows, **given[which])
+
+
+_STAGED = (
+    BASE
+    + """, latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY experiment_id, fly_id, report_date ORDER BY health_report_id DESC) AS rn FROM health_reports) WHERE rn = 1),
+r AS (SELECT l.*, monitor, channel, genotype, sex, treatment, lower(monitor || '-ch' || channel) AS key, CAST(date_diff('day', start_date, report_date) + 1 AS INTEGER) AS exp_day FROM latest l JOIN expt USING (experiment_id) LEFT JOIN fly USING (fly_id)),
+keys AS (SELECT experiment_id, min(key) AS low, max(key) AS high FROM r GROUP BY 1),
+f AS (SELECT *, (experiment_id, fly_id) IN (SELECT (experiment_id, fly_id) FROM latest WHERE status = 'Dead') AS dead, (experiment_id, fly_id) IN (SELECT (experiment_id, fly_id) FROM latest WHERE status IN ('Dead', 'QC_Fail')) AS failed,
+  coalesce(key IN (SELECT low FROM keys), false) AS fly, coalesce(key IN (SELECT high FROM keys), false) AND exp_day IN (1, 2, 3) AS day, coalesce(lower(genotype) = 'obd', false) AS obd FROM r),
+s AS (SELECT 'nothing' AS arguments, 'kept' AS stage, experiment_id, fly_id FROM f
+  UNION ALL SELECT 'flies', CASE WHEN fly THEN 'fly' ELSE 'kept' END, experiment_id, fly_id FROM f
+  UNION ALL SELECT 'days', CASE WHEN day THEN 'day' ELSE 'kept' END, experiment_id, fly_id FROM f
+  UNION ALL SELECT 'metadata', CASE WHEN obd OR coalesce(lower(sex) = 'male', false) OR coalesce(lower(treatment) = 'veh', false) THEN 'metadata' ELSE 'kept' END, experiment_id, fly_id FROM f
+  UNION ALL SELECT 'status', CASE WHEN failed THEN 'status' ELSE 'kept' END, experiment_id, fly_id FROM f
+  UNION ALL SELECT 'all', CASE WHEN dead THEN 'status' WHEN fly THEN 'fly' WHEN day THEN 'day' WHEN obd THEN 'metadata' ELSE 'kept' END, experiment_id, fly_id FROM f)
+"""
+)
+
+
+@query(_STAGED + "SELECT arguments, stage, count(*) AS n, count(DISTINCT (experiment_id, fly_id)) AS sources FROM s GROUP BY 1, 2")
+def f_removal_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of each stage for six sets of arguments."""
+    out = None
+    for which in ("nothing", "flies", "days", "metadata", "status", "all"):
+        part = removal.counters(removal_by_arguments(spark, sf_dir, which)).select(F.lit(which).alias("arguments"), "stage", "n", "sources")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_TABLES = ("features_z", "features", "health_reports", "readings", "flies", "experiments")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t} WHERE experiment_id <> (SELECT max_by(experiment_id, (created_at, experiment_id)) FROM experiments)" for t in _TABLES))
+def k_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK7, SNK8: rows that each table keeps when the latest experiment is deleted."""
+    gone = table(spark, sf_dir, "experiments").agg(F.max_by("experiment_id", F.struct("created_at", "experiment_id")).alias("experiment_id"))
+    out = None
+    for name in store.CASCADE:
+        part = store.without_experiments(table(spark, sf_dir, name).where("experiment_id is not null"), gone).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT experiment_id, '{t}' AS table_name, count(*) AS n FROM {t} GROUP BY 1" for t in _TABLES))
+def k_experiment_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK10, SNK11: rows of each experiment in each table."""
+    return store.experiment_info(spark, sf_dir)
+
+
 # joins -------------------------------------------------------------------------------------------
 
 @query(BASE + "SELECT genotype, sex, reading_type, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM counted LEFT JOIN fly USING (fly_id) WHERE reading_type IN ('MT', 'CT') AND value BETWEEN 0 AND 1000 GROUP BY ALL")

@@ -202,6 +202,74 @@ def s_cliffs_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.cliffs_delta(long_z(spark, sf_dir)).select("feature", "a", "b", r6("delta"), "magnitude")
 
 
+@query(
+    RANKS
+    + """, m AS (SELECT feature, grp, n, r / n AS mean FROM rs)
+SELECT a.feature, a.grp AS a, b.grp AS b, round((a.mean - b.mean) / sqrt((nn * (nn + 1) / 12 - t / (12 * (nn - 1))) * (1 / a.n + 1 / b.n)), 4) AS z
+FROM m a JOIN m b ON a.feature = b.feature AND a.grp < b.grp JOIN tie ON tie.feature = a.feature"""
+)
+def s_dunn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two genotypes after Kruskal-Wallis."""
+    return stats.dunn(long_z(spark, sf_dir)).select("feature", "a", "b", F.round("z", 4).alias("z"))
+
+
+def clustered_z(spark: SparkSession, sf_dir: str, group: str, features_of: Callable = lambda c: F.col("feature")) -> DataFrame:
+    """feature, grp, value of the rows with both sleep measures; ``cluster`` is the quadrant of total and night sleep."""
+    z = features_z(spark, sf_dir).where("total_sleep_mean_z is not null and night_sleep_mean_z is not null")
+    quadrant = F.concat(F.when(F.col("total_sleep_mean_z") > 0, "long").otherwise("short"), F.lit("-"), F.when(F.col("night_sleep_mean_z") > 0, "night").otherwise("day"))
+    z = z.withColumn("cluster", quadrant).where(F.col(group).isNotNull())
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in clean.feature_columns(z, "_z")]))
+    rows = z.select("cluster", F.col(group).alias("grp"), pairs.alias("x")).select("cluster", "grp", "x.feature", "x.value").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return rows.select(features_of("cluster").alias("feature"), "grp", "value")
+
+
+def within_cluster(_: str):
+    return F.concat_ws("|", "cluster", "feature")
+
+
+_QUADRANT = "CASE WHEN total_sleep_mean_z > 0 THEN 'long' ELSE 'short' END || '-' || CASE WHEN night_sleep_mean_z > 0 THEN 'night' ELSE 'day' END"
+
+
+def _clustered(group: str, feature: str) -> str:
+    """LONG and RANKS over the rows with a cluster, grouped by another column, features perhaps within clusters."""
+    cells = " UNION ALL ".join(f"SELECT {feature.format(c=c)} AS feature, {group} AS grp, {c} AS value FROM fz WHERE {group} IS NOT NULL AND {c} IS NOT NULL AND NOT isnan({c})" for c in TESTED)
+    head = BASE + f", fz AS (SELECT z.*, genotype, sex, treatment, {_QUADRANT} AS cluster FROM features_z z LEFT JOIN fly USING (fly_id) WHERE total_sleep_mean_z IS NOT NULL AND NOT isnan(total_sleep_mean_z) AND night_sleep_mean_z IS NOT NULL AND NOT isnan(night_sleep_mean_z)), long AS ({cells})\n"
+    return head + RANKS[len(LONG):]
+
+
+_U = """, u AS (SELECT feature, grp, n AS n1, nn - n AS n2, r - n * (n + 1) / 2 AS u, nn, t FROM rs JOIN tie USING (feature))
+SELECT feature, grp, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u, 2) AS u, round(2 * u / (n1 * n2) - 1, 6) AS r,
+  round(sign(u - n1 * n2 / 2) * greatest(0, abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * ((nn + 1) - t / (nn * (nn - 1)))), 4) AS z FROM u WHERE n2 > 0"""
+
+
+def _tested(m: DataFrame) -> DataFrame:
+    return m.select("feature", "grp", "n1", F.col("n2").cast("long").alias("n2"), F.round("u", 2).alias("u"), r6("r"), F.round("z", 4).alias("z"))
+
+
+@query(_clustered("sex", "cluster || '|{c}'") + _U + " AND n1 >= 3 AND n2 >= 3 AND grp = 'Female'")
+def s_sexes_in_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Females against males within each cluster, three of each at least."""
+    m = stats.mann_whitney_one_vs_rest(clustered_z(spark, sf_dir, "sex", within_cluster)).where("grp = 'Female' and n1 >= 3 and n2 >= 3")
+    return _tested(m)
+
+
+@query(_clustered("cluster", "'{c}'") + _U)
+def s_clusters_against_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster against all others."""
+    return _tested(stats.mann_whitney_one_vs_rest(clustered_z(spark, sf_dir, "cluster")))
+
+
+@query(
+    _clustered("genotype", "cluster || '|{c}'")
+    + """, s AS (SELECT feature, sum(n) AS n, count(*) AS k, sum(r * r / n) AS q FROM rs GROUP BY 1),
+h AS (SELECT s.*, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h FROM s JOIN tie USING (feature))
+SELECT feature, CAST(n AS BIGINT) AS n, k, round(h, 4) AS h, round(greatest(0, (h - k + 1) / (n - k)), 6) AS epsilon2 FROM h WHERE k >= 2"""
+)
+def s_genotypes_in_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genotypes within each cluster."""
+    return stats.kruskal(clustered_z(spark, sf_dir, "genotype", within_cluster)).select("feature", "n", "k", F.round("h", 4).alias("h"), r6("epsilon2"))
+
+
 _COHEN = LONG + """, g AS (SELECT feature, grp, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM long GROUP BY 1, 2),
 r AS (SELECT g.feature, g.grp, any_value(g.n) AS n, any_value(g.m) AS m, any_value(g.v) AS v, count(*) AS n2, avg(l.value) AS m2, var_samp(l.value) AS v2
   FROM g JOIN long l ON l.feature = g.feature AND l.grp <> g.grp GROUP BY 1, 2),

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ultradia.session import remove_path
+from ultradia.session import remove_path, written
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -52,6 +52,46 @@ def without_flies(table: DataFrame, removed: DataFrame) -> DataFrame:
     return table.join(removed.select("experiment_id", "fly_id").distinct(), ["experiment_id", "fly_id"], "left_anti")
 
 
+#: Tables that hold rows of an experiment, children first: the order in which its rows go.
+CASCADE = ("features_z", "features", "health_reports", "readings", "flies", "experiments")
+
+
+def without_experiments(table: DataFrame, gone: DataFrame) -> DataFrame:
+    """A table without the experiments in ``gone`` (experiment_id); rows without an experiment stay."""
+    return table.join(gone.select("experiment_id").distinct(), "experiment_id", "left_anti")
+
+
+def delete_experiments(spark: SparkSession, root: str, ids: Sequence[int] | None = None) -> dict[str, int]:
+    """Remove the experiments with these ids (all, if none are given) from every table of CASCADE under ``root``; rows removed per table.
+
+    Children go first, so a deletion that dies leaves the experiment listed and can be given again. Tables that are absent are left out.
+    """
+    listed = read_table(spark, root, "experiments").select("experiment_id")
+    gone = listed if ids is None else listed.where(F.col("experiment_id").isin(list(ids)))
+    gone = written(gone.distinct(), "gone")
+    removed = {}
+    for name in CASCADE:
+        path = f"{root.rstrip('/')}/{name}.parquet"
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            continue
+        table = spark.read.parquet(path)
+        n = table.join(gone, "experiment_id", "left_semi").count()
+        if n:
+            replace_table(without_experiments(table, gone), path)
+        removed[name] = n
+    return removed
+
+
+def experiment_info(spark: SparkSession, root: str, names: Sequence[str] = CASCADE) -> DataFrame:
+    """experiment_id, table_name, n for every experiment that a table has rows of."""
+    parts = [read_table(spark, root, n).groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n")).select("experiment_id", F.lit(n).alias("table_name"), "n") for n in names]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def next_id(table: DataFrame, column: str) -> int:
     return (table.agg(F.max(column)).first()[0] or 0) + 1
 
