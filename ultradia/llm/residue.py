@@ -172,7 +172,8 @@ def raw_signatures(kept: DataFrame) -> DataFrame:
         F.max("address").alias("high"),
         F.min("size").alias("least"),
     )
-    part = grouped.withColumn("part", folded(F.col("raw"))).where("part != ''")
+    # that n takes part keeps the filter, and with it the folding, above the aggregate: once per distinct segment
+    part = grouped.withColumn("part", folded(F.col("raw"))).where("n > 0 and (part != '' or n < 0)")
     return part.select(F.xxhash64("raw").alias("raw_key"), "part", F.xxhash64("part").alias("key"), "n", "runs", "low", "high", (F.col("least") <= 3).alias("alone"))
 
 
