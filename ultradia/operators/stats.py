@@ -1,7 +1,7 @@
 """Group statistics of many features at once: long rows (feature, group, value), ranks per feature, aggregates.
 
-Ranks come from counts by distinct value, so what is ordered per feature is its distinct values; a
-group or value that most rows share is counted before it moves.
+Ranks come from counts by distinct value, so what is ordered is distinct values, in blocks of the
+feature's range whose sums carry over; a group or value that most rows share is counted before it moves.
 """
 
 from __future__ import annotations
@@ -20,12 +20,29 @@ def long_features(df: DataFrame, columns: Sequence[str], group: str) -> DataFram
     return df.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("grp"), pairs.alias("x")).select("x.feature", "grp", "x.value").where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+#: Blocks into which the values of a feature are cut, about evenly; no task orders more than one.
+BLOCKS = 64
+
+
+def blocked(counts: DataFrame) -> DataFrame:
+    """counts with _b: the block of the value within its feature, by approximate quantiles (BLOCKS - 1 numbers a feature)."""
+    cuts = counts.groupBy("feature").agg(F.percentile_approx("value", [i / BLOCKS for i in range(1, BLOCKS)], 1000).alias("_cuts"))
+    return counts.join(F.broadcast(cuts), "feature").withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("value")))).drop("_cuts")
+
+
+def running(df: DataFrame, keys: Sequence[str], n: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``n`` up to and at the value within keys, from blocks and the sums of the blocks before."""
+    within = Window.partitionBy(*keys, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys, "_b").agg(F.sum(n).alias("_s")).select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    return df.withColumn("_in", F.sum(n).over(within)).join(sums, [*keys, "_b"]).withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before")
+
+
 def ranked_counts(long: DataFrame) -> DataFrame:
     """feature, grp, value, n, ties (rows of the value), rank (average rank of the value in the feature)."""
     counts = long.groupBy("feature", "grp", "value").agg(F.count(F.lit(1)).alias("n"))
-    values = counts.groupBy("feature", "value").agg(F.sum("n").alias("ties"))
-    upto = F.sum("ties").over(Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = values.withColumn("rank", upto - (F.col("ties") - 1) / 2.0)
+    values = blocked(counts.groupBy("feature", "value").agg(F.sum("n").alias("ties")))
+    ranks = running(values, ["feature"], "ties", "_upto").select("feature", "value", "ties", (F.col("_upto") - (F.col("ties") - 1) / 2.0).alias("rank"))
     return counts.join(ranks, ["feature", "value"])
 
 
@@ -105,11 +122,10 @@ def cliffs_delta(long: DataFrame) -> DataFrame:
     names = F.collect_set("grp")
     groups = counts.groupBy("feature").agg(names.alias("groups"))
     # each value row, with the running count of every group up to and at the value
-    per_value = counts.groupBy("feature", "value").agg(F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("here")).join(groups, "feature")
-    rows = per_value.select("feature", "value", "here", F.explode("groups").alias("b"))
+    per_value = blocked(counts.groupBy("feature", "value").agg(F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("here"))).join(groups, "feature")
+    rows = per_value.select("feature", "value", "_b", "here", F.explode("groups").alias("b"))
     rows = rows.withColumn("nb", F.coalesce(F.element_at("here", F.col("b")), F.lit(0)))
-    below = F.sum("nb").over(Window.partitionBy("feature", "b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) - F.col("nb")
-    rows = rows.withColumn("below", below).select("feature", "b", "below", "nb", F.explode("here").alias("a", "na")).where("a < b")
+    rows = running(rows, ["feature", "b"], "nb", "_upto").withColumn("below", F.col("_upto") - F.col("nb")).select("feature", "b", "below", "nb", F.explode("here").alias("a", "na")).where("a < b")
     sums = rows.groupBy("feature", "a", "b").agg(F.sum(F.col("na") * F.col("below")).alias("wins"), F.sum(F.col("na") * F.col("nb")).alias("even"))
     ta, tb = totals.select("feature", F.col("grp").alias("a"), F.col("total").alias("n_a")), totals.select("feature", F.col("grp").alias("b"), F.col("total").alias("n_b"))
     joined = sums.join(ta, ["feature", "a"]).join(tb, ["feature", "b"])
