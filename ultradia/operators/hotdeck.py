@@ -13,23 +13,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ultradia.session import written
+
 #: Blocks into which the orders of all records are cut, about evenly.
 BLOCKS = 64
 
 
-def _neighbours(rows: DataFrame, keys: Sequence[str], at: Sequence[str]) -> DataFrame:
-    """rows with _prev and _next: the donor (_last, _first) of the nearest rows before and after, by ``at`` within ``keys``.
+def _nearest(parts: Sequence[str], cols: Sequence[str], what: str, forward: bool) -> Column:
+    w = Window.partitionBy(*parts).orderBy(*[F.asc(c) if forward else F.desc(c) for c in cols]).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(what, ignorenulls=True).over(w)
+
+
+def _neighbours(rows: DataFrame, keys: Sequence[str], at: Sequence[str], asking: Column) -> DataFrame:
+    """The ``asking`` rows with _prev and _next: the donor (_last, _first) of the nearest rows before and after, by ``at`` within ``keys``.
 
     Within a block (_b) by a window over its rows; beyond it from the first and last donor per block.
     """
-    def nearest(parts: Sequence[str], cols: Sequence[str], what: str, forward: bool) -> Column:
-        w = Window.partitionBy(*parts).orderBy(*[F.asc(c) if forward else F.desc(c) for c in cols]).rowsBetween(Window.unboundedPreceding, -1)
-        return F.last(what, ignorenulls=True).over(w)
-
     block = [*keys, "_b"]
     ends = rows.groupBy(*block).agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
-    ends = ends.select(*block, nearest(keys, ["_b"], "_last", True).alias("_before"), nearest(keys, ["_b"], "_first", False).alias("_after"))
-    here = rows.withColumn("_prev", nearest(block, at, "_last", True)).withColumn("_next", nearest(block, at, "_first", False)).join(ends, block)
+    ends = ends.select(*block, _nearest(keys, ["_b"], "_last", True).alias("_before"), _nearest(keys, ["_b"], "_first", False).alias("_after"))
+    here = rows.withColumn("_prev", _nearest(block, at, "_last", True)).withColumn("_next", _nearest(block, at, "_first", False)).where(asking)
+    here = here.join(ends, block)
     return here.withColumns({"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")}).drop("_before", "_after")
 
 
@@ -52,31 +56,44 @@ def hot_deck(records: DataFrame, record: str, levels: Sequence[str], order: str,
     root = [f"_w{i}" for i in range(len(within))]
     keys = [*root, *[f"_k{i}" for i in range(len(levels))]]
     base = records.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(keys, [*within, *levels])})
-    base = base.withColumn("_o", F.coalesce(F.col(order).cast("double"), F.lit(0.0))).withColumn("_r", F.col(record).cast("string"))
+    base = base.withColumn("_o", F.coalesce(F.col(order).cast("double"), F.lit(0.0))).withColumn("_r", F.coalesce(F.col(record).cast("string"), F.lit("")))
     cuts = base.agg(F.percentile_approx("_o", [i / BLOCKS for i in range(1, BLOCKS)], 10_000).alias("_cuts"))
     base = base.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("_o")))).drop("_cuts")
-    donor = F.when(F.col(value).isNotNull(), F.struct(F.col("_o").alias("o"), F.col("_r").alias("r"), F.col(value).alias("v")))
-    base = base.withColumn("_first", donor).withColumn("_last", donor)
-    got = _neighbours(base, keys, ["_o", "_r"]).withColumn("_out0", _nearer()).drop("_prev", "_next", "_first", "_last")
-    ends = base.groupBy(*keys, "_b", "_o").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    missing = F.col(value).isNull()
+    donor = F.when(~missing, F.struct(F.col("_o").alias("o"), F.col("_r").alias("r"), F.col(value).alias("v")))
+    base = written(base.withColumn("_missing", missing), "records")
+    donors = base.select(*keys, "_b", "_o", "_r", "_missing", donor.alias("_first")).withColumn("_last", F.col("_first"))
+    at = [*keys, "_b", "_o", "_r"]
+    inside = _neighbours(donors, keys, ["_o", "_r"], F.col("_missing")).select(*at, _nearer().alias("_got"))
+    inside = written(inside.dropDuplicates(at).withColumn("_scope", F.when(F.col("_got").isNotNull(), 0)), "inside")
+    # only what has no donor in its own group looks further, level by level
+    ends = written(donors.where("not _missing").groupBy(*keys, "_b", "_o").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last")), "donors")
+    found = inside
     for depth in range(1, len(levels) + 1):
         parent = keys[: len(keys) - depth]
-        ends = ends.groupBy(*parent, "_b", "_o").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
-        wider = _neighbours(ends, parent, ["_o"]).select(*parent, "_b", "_o", F.coalesce("_first", _nearer()).alias(f"_out{depth}"))
-        got = got.join(wider, [*parent, "_b", "_o"], "left")
-    outs = [f"_out{d}" for d in range(len(levels) + 1)]
-    missing = F.col(value).isNull()
-    scope = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(i)) for i, c in enumerate(outs)])
-    got = got.withColumn("_got", F.coalesce(*outs)).withColumn("_scope", scope)
+        asks = inside.where("_got is null").select(*parent, "_b", "_o").distinct()
+        level = ends.groupBy(*parent, "_b", "_o").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+        level = level.withColumn("_asks", F.lit(False)).unionByName(asks.withColumn("_asks", F.lit(True)), allowMissingColumns=True)
+        level = level.groupBy(*parent, "_b", "_o").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_asks").alias("_asks"))
+        wider = _neighbours(level, parent, ["_o"], F.col("_asks")).select(*parent, "_b", "_o", F.coalesce("_first", _nearer()).alias("_wider"))
+        found = found.join(wider, [*parent, "_b", "_o"], "left").withColumns(
+            {"_scope": F.coalesce("_scope", F.when(F.col("_wider").isNotNull(), depth)), "_got": F.coalesce("_got", "_wider")}
+        ).drop("_wider")
     results = {"filled_value", "was_filled", "donor", "donor_scope", "distance"}
-    return got.select(
-        *[c for c in records.columns if c not in results],
-        F.coalesce(F.col(value), F.col("_got.v")).alias("filled_value"),
-        (missing & F.col("_got").isNotNull()).alias("was_filled"),
-        F.when(missing, F.col("_got.r")).alias("donor"),
-        F.when(missing, F.col("_scope")).alias("donor_scope"),
-        F.when(missing, F.abs(F.col("_got.o") - F.col("_o"))).alias("distance"),
+    plain = [c for c in records.columns if c not in results]
+    got = base.where("_missing").join(found, at)
+    filled = got.select(
+        *plain,
+        F.col("_got.v").alias("filled_value"),
+        F.col("_got").isNotNull().alias("was_filled"),
+        F.col("_got.r").alias("donor"),
+        F.col("_scope").alias("donor_scope"),
+        F.abs(F.col("_got.o") - F.col("_o")).alias("distance"),
+    )
+    own = base.where("not _missing").select(
+        *plain, F.col(value).alias("filled_value"), F.lit(False).alias("was_filled"), F.lit(None).cast("string").alias("donor"), F.lit(None).cast("int").alias("donor_scope"), F.lit(None).cast("double").alias("distance")
     )
+    return filled.unionByName(own)
 
 
 def in_range(c: str, low: float, high: float) -> Column:
