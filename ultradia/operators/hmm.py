@@ -1,6 +1,6 @@
 """Hidden Markov model of three activity states per genotype, fitted by expectation and maximisation over Spark.
 
-The sequences are bouts (a source's consecutive candidate bins), a few hundred bins at most, so the
+The sequences are bouts (a source's consecutive candidate bins, 288 at most a day of unbroken activity), whole, so the
 forward and backward passes of a bout are one small computation. A genotype with a third of all
 bouts is spread like any other: what its tasks add up are the expected counts of the model, a few
 dozen numbers, and only these come together.
@@ -22,13 +22,12 @@ STATES = ("Healthy", "Declining", "Critical")
 Model = dict[str, np.ndarray]
 
 
-def bout_rows(candidates: DataFrame, longest: int = 288) -> DataFrame:
-    """genotype, source, part, bins, x (MT z) and y (Pn z) as arrays, one row per bout; a bout of over ``longest`` bins goes in parts of a day."""
+def bout_rows(candidates: DataFrame) -> DataFrame:
+    """genotype, source, bout, bins, x (MT z) and y (Pn z) as arrays, one row per bout, over midnight too."""
     rows = candidates.where(F.col("genotype").isNotNull() & F.col("mt_z").isNotNull() & F.col("pn_z").isNotNull())
-    part = F.date_trunc("DAY", "bin").cast("timestamp_ntz")
     cells = F.sort_array(F.collect_list(F.struct("bin", "mt_z", "pn_z")))
-    packed = rows.withColumn("part", part).groupBy("genotype", *SOURCE, "bout", "part").agg(cells.alias("cells"))
-    return packed.select("genotype", *SOURCE, "bout", "part", F.col("cells.bin").alias("bins"), F.col("cells.mt_z").alias("x"), F.col("cells.pn_z").alias("y"))
+    packed = rows.groupBy("genotype", *SOURCE, "bout").agg(cells.alias("cells"))
+    return packed.select("genotype", *SOURCE, "bout", F.col("cells.bin").alias("bins"), F.col("cells.mt_z").alias("x"), F.col("cells.pn_z").alias("y"))
 
 
 def _densities(obs: np.ndarray, m: Model) -> np.ndarray:
@@ -77,57 +76,71 @@ def _observed(row: pd.Series) -> np.ndarray:
     return np.column_stack([np.asarray(row["x"], float), np.asarray(row["y"], float)])
 
 
-def fit(bouts: DataFrame, passes: int = 12, least: int = 200, tolerance: float = 1e-4) -> dict[str, Model]:
+#: The quantiles that the states start from, one set per start, and the floor of a variance.
+STARTS = ((0.15, 0.5, 0.85), (0.05, 0.5, 0.95), (0.25, 0.5, 0.75), (0.1, 0.3, 0.7))
+FLOOR = 1e-3
+
+
+def fit(bouts: DataFrame, passes: int = 100, least: int = 200, tolerance: float = 1e-6, tried: int = 5) -> dict[str, Model]:
     """A model per genotype with at least ``least`` bins; states ordered by falling mean MT, then Pn.
 
-    Starts from the genotype's quantiles. Stops when no genotype's likelihood grows by more than the tolerance a bin.
+    Each genotype has a start per set of quantiles in STARTS. After ``tried`` passes the likeliest goes on, until
+    the likelihood of no genotype grows by more than the tolerance a bin, or for ``passes``.
     """
     flat = bouts.select("genotype", F.explode(F.arrays_zip("x", "y")).alias("z"))
-    q = F.array(F.lit(0.15), F.lit(0.5), F.lit(0.85))
+    q = F.array(*[F.lit(x) for s in STARTS for x in s])
     start = flat.groupBy("genotype").agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx("z.x", q, 1000).alias("qx"), F.percentile_approx("z.y", q, 1000).alias("qy"), F.var_pop("z.x").alias("vx"), F.var_pop("z.y").alias("vy")
     )
-    models: dict[str, Model] = {}
+    models: dict[tuple[str, int], Model] = {}
     for r in start.where(F.col("n") >= least).collect():
-        models[r["genotype"]] = {
-            "start": np.full(3, 1 / 3), "trans": np.full((3, 3), 0.1) + 0.7 * np.eye(3), "mean": np.column_stack([r["qx"][::-1], r["qy"][::-1]]).astype(float),
-            "var": np.tile(np.maximum([r["vx"], r["vy"]], 1e-3), (3, 1)),
-        }
+        for i in range(len(STARTS)):
+            cut = slice(3 * i, 3 * i + 3)
+            models[r["genotype"], i] = {
+                "start": np.full(3, 1 / 3), "trans": np.full((3, 3), 0.1) + 0.7 * np.eye(3), "mean": np.column_stack([r["qx"][cut][::-1], r["qy"][cut][::-1]]).astype(float),
+                "var": np.tile(np.maximum([r["vx"], r["vy"]], FLOOR), (3, 1)),
+            }
     before = dict.fromkeys(models, -np.inf)
-    for _ in range(passes):
+    for turn in range(passes if models else 0):
         now = {k: dict(v) for k, v in models.items()}
 
         def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total: dict[str, np.ndarray] = {}
+            total: dict[tuple[str, int], np.ndarray] = {}
             for pdf in batches:
                 for _, row in pdf.iterrows():
-                    if (m := now.get(row["genotype"])) is not None:
-                        c, ll = _expected(_observed(row), m)
-                        total[row["genotype"]] = total.get(row["genotype"], 0) + np.append(c, [ll, len(row["x"])])
-            for g, c in total.items():
-                yield pd.DataFrame({"genotype": g, "pos": np.arange(len(c)), "s": c})
-
-        sums = bouts.select("genotype", "x", "y").mapInPandas(counts, "genotype string, pos int, s double").groupBy("genotype", "pos").agg(F.sum("s").alias("s")).collect()
-        got: dict[str, np.ndarray] = {g: np.zeros(29) for g in models}
+                    obs = _observed(row)
+                    for i in range(len(STARTS)):
+                        if (m := now.get((row["genotype"], i))) is not None:
+                            c, ll = _expected(obs, m)
+                            total[row["genotype"], i] = total.get((row["genotype"], i), 0) + np.append(c, [ll, len(obs)])
+            for (g, i), c in total.items():
+                yield pd.DataFrame({"genotype": g, "which": i, "pos": np.arange(len(c)), "s": c})
+
+        sums = bouts.select("genotype", "x", "y").mapInPandas(counts, "genotype string, which int, pos int, s double").groupBy("genotype", "which", "pos").agg(F.sum("s").alias("s")).collect()
+        got: dict[tuple[str, int], np.ndarray] = {k: np.zeros(29) for k in models}
         for r in sums:
-            got[r["genotype"]][r["pos"]] = r["s"]
+            got[r["genotype"], r["which"]][r["pos"]] = r["s"]
         grown = 0.0
-        for g, c in got.items():
+        for k, c in got.items():
             w = np.maximum(c[12:15], 1e-9)
             mean = c[15:21].reshape(3, 2) / w[:, None]
             trans = c[3:12].reshape(3, 3) + 1e-6
-            models[g] = {
+            models[k] = {
                 "start": (c[:3] + 1e-6) / (c[:3] + 1e-6).sum(), "trans": trans / trans.sum(1, keepdims=True), "mean": mean,
-                "var": np.maximum(c[21:27].reshape(3, 2) / w[:, None] - mean * mean, 1e-3),
+                "var": np.maximum(c[21:27].reshape(3, 2) / w[:, None] - mean * mean, FLOOR),
             }
-            grown = max(grown, (c[27] - before[g]) / max(c[28], 1))
-            before[g] = c[27]
-        if grown < tolerance:
+            grown = max(grown, (c[27] - before[k]) / max(c[28], 1))
+            before[k] = c[27]
+        if turn + 1 == tried:
+            best = {g: max((k for k in models if k[0] == g), key=lambda k: before[k]) for g in {k[0] for k in models}}
+            models = {k: models[k] for k in best.values()}
+        if grown < tolerance and turn + 1 >= tried:
             break
-    for g, m in models.items():
+    out: dict[str, Model] = {}
+    for (g, i), m in sorted(models.items(), key=lambda x: before[x[0]]):
         order = np.lexsort((-m["mean"][:, 1], -m["mean"][:, 0]))
-        models[g] = {"start": m["start"][order], "trans": m["trans"][np.ix_(order, order)], "mean": m["mean"][order], "var": m["var"][order]}
-    return models
+        out[g] = {"start": m["start"][order], "trans": m["trans"][np.ix_(order, order)], "mean": m["mean"][order], "var": m["var"][order]}
+    return out
 
 
 def decode(bouts: DataFrame, models: dict[str, Model]) -> DataFrame:
@@ -138,16 +151,16 @@ def decode(bouts: DataFrame, models: dict[str, Model]) -> DataFrame:
             for _, row in pdf.iterrows():
                 m = models.get(row["genotype"])
                 states.append(["HMM_FAILED"] * len(row["x"]) if m is None else [STATES[i] for i in _viterbi(_observed(row), m)])
-            yield pdf[[*SOURCE, "bout", "part"]].assign(states=states)
+            yield pdf[[*SOURCE, "bout"]].assign(states=states)
 
     d = bouts.schema
-    kinds = ", ".join(f"{k} {d[k].dataType.simpleString()}" for k in [*SOURCE, "bout", "part"])
-    found = bouts.select(*SOURCE, "bout", "part", "genotype", "x", "y").mapInPandas(paths, f"{kinds}, states array<string>")
-    joined = found.join(bouts.select(*SOURCE, "bout", "part", "bins"), [*SOURCE, "bout", "part"])
+    kinds = ", ".join(f"{k} {d[k].dataType.simpleString()}" for k in [*SOURCE, "bout"])
+    found = bouts.select(*SOURCE, "bout", "genotype", "x", "y").mapInPandas(paths, f"{kinds}, states array<string>")
+    joined = found.join(bouts.select(*SOURCE, "bout", "bins"), [*SOURCE, "bout"])
     return joined.select(*SOURCE, "bout", F.explode(F.arrays_zip("bins", "states")).alias("z")).select(*SOURCE, "bout", F.col("z.bins").alias("bin"), F.col("z.states").alias("state"))
 
 
-def decoded_states(candidates: DataFrame, passes: int = 12) -> DataFrame:
+def decoded_states(candidates: DataFrame, passes: int = 100) -> DataFrame:
     """Fit and decode; the packed bouts are written once."""
     bouts = written(bout_rows(candidates), "bouts")
     return decode(bouts, fit(bouts, passes))

@@ -71,14 +71,16 @@ def hot_deck(records: DataFrame, record: str, levels: Sequence[str], order: str,
     found = inside
     for depth in range(1, len(levels) + 1):
         parent = keys[: len(keys) - depth]
-        asks = inside.where("_got is null").select(*parent, "_b", "_o").distinct()
-        level = ends.groupBy(*parent, "_b", "_o").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+        asks = found.where("_got is null").select(*parent, "_b", "_o").distinct()
+        near = ends.join(asks.select(*parent).distinct(), parent, "left_semi") if parent else ends
+        level = near.groupBy(*parent, "_b", "_o").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
         level = level.withColumn("_asks", F.lit(False)).unionByName(asks.withColumn("_asks", F.lit(True)), allowMissingColumns=True)
         level = level.groupBy(*parent, "_b", "_o").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_asks").alias("_asks"))
         wider = _neighbours(level, parent, ["_o"], F.col("_asks")).select(*parent, "_b", "_o", F.coalesce("_first", _nearer()).alias("_wider"))
         found = found.join(wider, [*parent, "_b", "_o"], "left").withColumns(
             {"_scope": F.coalesce("_scope", F.when(F.col("_wider").isNotNull(), depth)), "_got": F.coalesce("_got", "_wider")}
         ).drop("_wider")
+        found = written(found, "found")
     results = {"filled_value", "was_filled", "donor", "donor_scope", "distance"}
     plain = [c for c in records.columns if c not in results]
     got = base.where("_missing").join(found, at)

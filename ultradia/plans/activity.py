@@ -12,6 +12,7 @@ from ultradia.operators import badrows, death, health, prepared, removal, rhythm
 from ultradia.operators.prepared import DAY
 from ultradia.operators.readings import SOURCE, counted_readings, day_stamp, stamp
 from ultradia.plans.sql import BASE, DAILY, RUNS, cosinor
+from ultradia.session import written
 from ultradia.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,6 +381,21 @@ def a_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(*SOURCE, stamp(F.col("bin")).alias("bin"), "n_mt", "mt_sum", r6("pn_var"))
 
 
+@query(
+    BASE
+    + """, b AS (SELECT experiment_id, fly_id, time_bucket(INTERVAL 5 MINUTE, datetime) AS bin, count(*) FILTER (WHERE reading_type = 'MT') AS n_mt,
+  CAST(coalesce(sum(value) FILTER (WHERE reading_type = 'MT'), 0) AS BIGINT) AS mt_sum, coalesce(var_samp(value) FILTER (WHERE reading_type = 'Pn'), 0) AS pn_var
+  FROM ztimed WHERE reading_type IN ('MT', 'Pn') AND value BETWEEN 0 AND 1000 GROUP BY ALL)
+SELECT b.experiment_id, b.fly_id, strftime(bin, '%Y-%m-%d %H:%M:%S') AS bin, coalesce(genotype, 'Unknown') AS genotype, coalesce(sex, 'Unknown') AS sex, coalesce(treatment, 'Unknown') AS treatment, mt_sum, round(pn_var, 6) AS pn_var
+FROM b LEFT JOIN fly USING (fly_id) WHERE n_mt = 5"""
+)
+def a_bins_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11, A13, SNK15: bins with a reading for each of their five minutes, with their fly's metadata, Unknown where there is none."""
+    b = prepared.with_flies(bins(spark, sf_dir).where("n_mt = 5"), flies(spark, sf_dir))
+    names = [F.coalesce(c, F.lit("Unknown")).alias(c) for c in ("genotype", "sex", "treatment")]
+    return b.select(*SOURCE, stamp(F.col("bin")).alias("bin"), *names, "mt_sum", r6("pn_var"))
+
+
 def bins(spark: SparkSession, sf_dir: str, n_minutes: int = 5) -> DataFrame:
     """experiment_id, fly_id, blk, bin, n_mt, mt_sum, pn_var; bins never cross a day, so they are made where the rows are."""
     rows = timed(spark, sf_dir, ("MT", "Pn"), 0)
@@ -471,7 +487,7 @@ SELECT experiment_id, fly_id, CAST((k - 1) * 6 AS INTEGER) AS ttd, strftime(any_
 )
 def w_backward_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six-hour windows counted back from death."""
-    m = minutes(spark, sf_dir)
+    m = written(minutes(spark, sf_dir), "minutes")
     d = death.dense_deaths(m, table(spark, sf_dir, "experiments"), 24)
     x = death.backward_windows(m, d)
     return x.select(*SOURCE, "ttd", stamp(F.col("window_start")).alias("window_start"), "total_sleep_min", "n_sleep_bouts", r6("mean_bout_min"), "longest_bout_min", r6("mean_wake_bout_min"), r6("p_wake"))
@@ -633,11 +649,11 @@ def n_periodogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def a_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table: rhythm and sleep features of every source."""
-    rows = timed(spark, sf_dir)
-    hourly = rhythm.hourly_totals(rows.where(~F.col("exp_day").isin(1, 7)))
+    series = written(prepared.minute_series(timed(spark, sf_dir)), "minutes")
+    hourly = written(rhythm.hourly_totals(series.where(~F.col("exp_day").isin(1, 7))), "hourly")
     day = [*DAY, "exp_day"]
     features = rhythm.rhythm_features(rhythm.cosinor(hourly, day, "zt", "hourly"), rhythm.periodogram(hourly), rhythm.onset_offset(hourly), rhythm.interdaily_stability(hourly))
-    slept = sleep.per_source_means(sleep.daily_sleep(prepared.dense_minutes(prepared.minute_series(rows)))).drop("n_days")
+    slept = sleep.per_source_means(sleep.daily_sleep(prepared.dense_minutes(series))).drop("n_days")
     return prepared.with_flies(features.join(slept, SOURCE), flies(spark, sf_dir))
 
 

@@ -413,6 +413,27 @@ def w_state_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_states.state_shares(labelled_bins(spark, sf_dir)).select(*SOURCE, "n_bins", "pct_sleep", "pct_warmup", "pct_hmm_candidate")
 
 
+@query(
+    BASE
+    + """, b AS (SELECT experiment_id, fly_id, time_bucket(INTERVAL 5 MINUTE, datetime) AS bin, CAST(coalesce(sum(value) FILTER (WHERE reading_type = 'MT'), 0) AS DOUBLE) AS mt, coalesce(var_samp(value) FILTER (WHERE reading_type = 'Pn'), 0) AS pn
+  FROM ztimed WHERE reading_type IN ('MT', 'Pn') AND value BETWEEN 0 AND 1000 GROUP BY ALL),
+still AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, fly_id ORDER BY bin) - row_number() OVER (PARTITION BY experiment_id, fly_id, mt = 0 AND pn = 0 ORDER BY bin) AS g FROM b),
+dead AS (SELECT experiment_id, fly_id, min(a) AS dead_at FROM (SELECT experiment_id, fly_id, min(bin) AS a, count(*) AS n FROM still WHERE mt = 0 AND pn = 0 GROUP BY experiment_id, fly_id, g) WHERE n >= 144 GROUP BY 1, 2),
+s AS (SELECT b.*, CASE WHEN bin >= dead_at THEN 'Dead' WHEN mt = 0 THEN 'Sleep' ELSE 'Active' END AS st FROM b LEFT JOIN dead USING (experiment_id, fly_id)),
+i AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, fly_id ORDER BY bin) - row_number() OVER (PARTITION BY experiment_id, fly_id, st ORDER BY bin) AS g FROM s),
+t AS (SELECT * EXCLUDE (st), CASE WHEN st = 'Active' AND count(*) OVER (PARTITION BY experiment_id, fly_id, st, g) < 6 THEN 'Sleep' ELSE st END AS st FROM i),
+w AS (SELECT *, CASE WHEN st = 'Active' THEN mt END AS am, CASE WHEN st = 'Active' THEN pn END AS ap FROM t),
+z AS (SELECT *, stddev_samp(am) OVER p AS sm, stddev_samp(ap) OVER p AS sp, coalesce(stddev_samp(am) OVER q * 0.01, 0) AS fm, coalesce(stddev_samp(ap) OVER q * 0.01, 0) AS fp, count(am) OVER (q ORDER BY bin ROWS UNBOUNDED PRECEDING) AS seen
+  FROM w WINDOW p AS (PARTITION BY experiment_id, fly_id ORDER BY bin ROWS 287 PRECEDING), q AS (PARTITION BY experiment_id, fly_id)),
+l AS (SELECT *, CASE WHEN st <> 'Active' THEN st WHEN seen < 144 THEN 'Warmup' WHEN coalesce(sm < CASE WHEN fm > 0 THEN fm ELSE 1e-6 END, false) OR coalesce(sp < CASE WHEN fp > 0 THEN fp ELSE 1e-6 END, false) THEN 'Low_Data' ELSE 'HMM_candidate' END AS hs FROM z)
+SELECT experiment_id, fly_id, count(*) AS n_bins, round(100 * avg(CASE WHEN hs = 'Dead' THEN 1.0 ELSE 0 END), 1) AS pct_dead, round(100 * avg(CASE WHEN hs = 'Sleep' THEN 1.0 ELSE 0 END), 1) AS pct_sleep,
+  round(100 * avg(CASE WHEN hs = 'Warmup' THEN 1.0 ELSE 0 END), 1) AS pct_warmup, round(100 * avg(CASE WHEN hs = 'HMM_candidate' THEN 1.0 ELSE 0 END), 1) AS pct_hmm_candidate FROM l GROUP BY 1, 2"""
+)
+def w_state_shares_usual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W14, W9, C9 with the usual thresholds: bouts of six bins, 144 active bins to warm up, death after 144 still ones."""
+    return rolling_states.state_shares(rolling_states.prelabelled(bins(spark, sf_dir))).select(*SOURCE, "n_bins", "pct_dead", "pct_sleep", "pct_warmup", "pct_hmm_candidate")
+
+
 @query()
 def m_hidden_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L11, W15, SNK5: states of the candidate bins by one model per genotype."""
