@@ -22,7 +22,7 @@ NEIGHBOURS = 6
 #: Neighbours of a point that one round of descent pairs with one another.
 PAIRED = 6
 #: Sweeps of local moving, and rounds of merging, after which it stops even if something still gains.
-SWEEPS, LEVELS = 24, 40
+SWEEPS, LEVELS = 10, 40
 
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
