@@ -170,7 +170,7 @@ def linked_groups(points: DataFrame, radius: float, written: Written) -> DataFra
     """
     names = axis_names(points)
     cells = written(cells_of(points, radius).withColumn("c", F.col("id")), "cells")
-    first = near_cells(cells, radius).where(distance2("x", "y", names) <= radius * radius).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    first = written(near_cells(cells, radius), "near").where(distance2("x", "y", names) <= radius * radius).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     labels = relabelled(cells.select("id", "c"), first, written)
     cells = written(cells.drop("c").join(labels, "id"), "cells")
     labels = relabelled(labels, links_across(points, cells, radius, written), written)
