@@ -69,3 +69,22 @@ def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def f_tail(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([np.nan if pd.isna(v) or a <= 0 or b <= 0 else incomplete_beta(b / (b + a * v), b / 2, a / 2) for v, a, b in zip(x, d1, d2)])
+
+
+def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
+    """Exact two-sided probability of a table a b / c d: of all tables with its margins, those no likelier than it."""
+    n, row, col = a + b + c + d, a + b, a + c
+    k = np.arange(max(0, row + col - n), min(row, col) + 1)
+    logs = np.frompyfunc(math.lgamma, 1, 1)
+
+    def chosen(m: int, j: np.ndarray) -> np.ndarray:
+        return (math.lgamma(m + 1) - logs(j + 1) - logs(m - j + 1)).astype(float)
+
+    p = chosen(row, k) + chosen(n - row, col - k)
+    p = np.exp(p - p.max())
+    return float(min(1.0, p[p <= p[a - k[0]] * (1 + 1e-7)].sum() / p.sum()))
+
+
+@F.pandas_udf(DoubleType())
+def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    return pd.Series([fisher_two_sided(*map(int, x)) for x in zip(a, b, c, d)])

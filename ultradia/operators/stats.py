@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ultradia.functions.dist import chi2_tail, f_tail, normal_two_sided
+from ultradia.functions.dist import chi2_tail, f_tail, fisher_p, normal_two_sided
 
 
 def long_features(df: DataFrame, columns: Sequence[str], group: str) -> DataFrame:
@@ -174,6 +174,19 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select("n", "rows", "cols", "chi2", "dof", chi2_tail(F.col("chi2"), F.col("dof").cast("double")).alias("p"))
 
 
+def fisher_one_vs_rest(df: DataFrame, group: str, trait: str) -> DataFrame:
+    """grp, trait, a, b, c, d, p: for each group and trait, the group's rows with and without it, and all others' (rows with a null are left out).
+
+    Only counts are compared: a row per group and trait.
+    """
+    cells = df.where(F.col(group).isNotNull() & F.col(trait).isNotNull()).groupBy(F.col(group).alias("grp"), F.col(trait).alias("trait")).agg(F.count(F.lit(1)).alias("n"))
+    rows, cols = cells.groupBy("grp").agg(F.sum("n").alias("row")), cells.groupBy("trait").agg(F.sum("n").alias("col"))
+    total = cells.agg(F.sum("n").alias("total"))
+    grid = rows.crossJoin(cols).crossJoin(F.broadcast(total)).join(cells, ["grp", "trait"], "left").withColumn("a", F.coalesce("n", F.lit(0)))
+    full = grid.select("grp", "trait", "a", (F.col("row") - F.col("a")).alias("b"), (F.col("col") - F.col("a")).alias("c"), (F.col("total") - F.col("row") - F.col("col") + F.col("a")).alias("d"))
+    return full.withColumn("p", fisher_p("a", "b", "c", "d"))
+
+
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, ari, nmi (arithmetic mean) of two labelings, from their table of counts."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))

@@ -302,6 +302,13 @@ def s_chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.chi_square(flies(spark, sf_dir), "genotype", "sex").select("n", "rows", "cols", F.round("chi2", 4).alias("chi2"))
 
 
+@query()
+def s_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each genotype's sexes against those of all others, exactly."""
+    t = stats.fisher_one_vs_rest(flies(spark, sf_dir), "genotype", "sex")
+    return t.select(F.col("grp").alias("genotype"), F.col("trait").alias("sex"), "a", "b", "c", "d", r6("p"))
+
+
 @query(
     BASE
     + """, x AS (SELECT z.feature_id, CASE WHEN total_sleep_mean_z > 0 THEN 'long' ELSE 'short' END AS a, genotype AS b FROM features_z z JOIN fly USING (fly_id) WHERE total_sleep_mean_z IS NOT NULL AND NOT isnan(total_sleep_mean_z) AND genotype IS NOT NULL),
