@@ -53,7 +53,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Writes like ``written`` and deletes its tables together once nothing reads them any more."""
+    """Writes like ``written`` and deletes its tables together once nothing reads them any more.
+
+    Spark frees the broadcasts and shuffles of finished tables only when the driver collects garbage, which
+    loops of many small jobs may put off until its memory is full; so it is asked to after every few tables.
+    """
+
+    EVERY = 8
 
     def __init__(self) -> None:
         self.paths: list[tuple[SparkSession, str]] = []
@@ -63,6 +69,8 @@ class Scratch:
         path = scratch_path(spark, name)
         df.write.parquet(path)
         self.paths.append((spark, path))
+        if len(self.paths) % self.EVERY == 0:
+            spark._jvm.System.gc()
         return spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
