@@ -1,7 +1,9 @@
 import datetime as dt
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 
 from ultradia.functions import dist
@@ -153,6 +155,58 @@ def test_hmm_recovers_states(spark):
     assert {r.state for r in few} == {"HMM_FAILED"}
 
 
+def test_hmm_passes_are_whole_and_quick():
+    rng = np.random.default_rng(5)
+    lengths = np.sort(rng.integers(1, 12, 4000))[::-1]
+    lengths[0] = 400
+    begin, flat = np.cumsum(lengths) - lengths, rng.normal(size=(2, lengths.sum())) * 2
+    m = {"start": np.array([0.5, 0.3, 0.2]), "trans": np.array([[0.8, 0.1, 0.1], [0.2, 0.7, 0.1], [0.05, 0.05, 0.9]]), "mean": np.array([[2.0, 1], [0, 0], [-2, -1]]), "var": np.array([[1.0, 2], [1, 1], [0.5, 1]])}
+    began = time.thread_time()
+    at, steps = hmm._by_step(lengths, begin)
+    got = hmm._expected(flat[:, at], steps, m)
+    path = np.empty(len(at), int)
+    path[at] = hmm._viterbi(flat[:, at], steps, m)
+    quick = time.thread_time() - began
+    began, want, bare = time.thread_time(), np.zeros(len(got)), []
+    for lo, n in zip(begin, lengths):
+        obs = flat[:, lo : lo + n].T
+        d = np.exp(-0.5 * (np.log(2 * np.pi * m["var"]) + (obs[:, None] - m["mean"]) ** 2 / m["var"]).sum(-1))
+        alpha, scale, beta, best, back = [], [], [np.ones(3)], np.log(m["start"] * d[0]), []
+        for t in range(n):
+            a = (alpha[-1] @ m["trans"] if t else m["start"]) * d[t]
+            scale.append(a.sum())
+            alpha.append(a / a.sum())
+            if t:
+                step = best[:, None] + np.log(m["trans"])
+                back.append(step.argmax(0))
+                best = step.max(0) + np.log(d[t])
+        for t in range(n - 1, 0, -1):
+            beta.insert(0, m["trans"] @ (d[t] * beta[0]) / scale[t])
+        xi = sum((alpha[t][:, None] * m["trans"] * (d[t + 1] * beta[t + 1] / scale[t + 1]) for t in range(n - 1)), np.zeros((3, 3)))
+        g, way = np.array(alpha) * np.array(beta), [best.argmax()]
+        for x in reversed(back):
+            way.append(x[way[-1]])
+        bare += way[::-1]
+        want += np.concatenate([g[0], xi.ravel(), g.sum(0), (g.T @ obs).ravel(), (g.T @ obs**2).ravel(), [np.log(scale).sum(), n]])
+    assert got == pytest.approx(want, rel=1e-9) and path.tolist() == bare
+    assert quick * 8 < time.thread_time() - began
+
+
+def test_hmm_packs_every_bin_once(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "BLOCK", 50)
+    rows = [(g, [float(100 * i + t) for t in range(1 + i % 70)], [float(-t) for t in range(1 + i % 70)]) for i in range(90) for g in ("a", "b")]
+    b = spark.createDataFrame(rows, "genotype string, x array<double>, y array<double>")
+    found = list(hmm._groups(np.array([r[0] for r in rows]), np.array([len(r[1]) for r in rows])))
+    assert sorted(i for _, own in found for i in own) == list(range(len(rows))) and len(found) > 10
+    got = []
+    for r in hmm._packed(b).collect():
+        steps, (x, y) = np.frombuffer(r.steps, "<i8"), np.frombuffer(r.cells, "<f8").reshape(2, -1)
+        for j in range(steps[0]):
+            own = [lo + j for lo, k in zip(np.cumsum(steps) - steps, steps) if k > j]
+            got.append((r.genotype, x[own].tolist(), y[own].tolist()))
+    assert sorted(got) == sorted(rows)
+
+
 def test_prelabels(spark):
     rows = [(1, "a", DAY0.date(), DAY0 + dt.timedelta(minutes=5 * i), 0 if 40 <= i < 44 else 5 + i % 7, 1.0 * (i % 3)) for i in range(80)]
     b = spark.createDataFrame(rows, "experiment_id int, fly_id string, blk date, bin timestamp_ntz, mt_sum long, pn_var double")
