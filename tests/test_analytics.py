@@ -215,6 +215,27 @@ def test_prelabels(spark):
     assert rolling_states.state_shares(rolling_states.prelabelled(b)).collect()[0].qc == "Keep"
 
 
+def test_rolled_over_batches(spark):
+    rng = random.Random(4)
+    values = {(f, i): None if rng.random() < 0.3 else 1e6 + rng.random() for f in ("a", "b", "c") for i in range(40)}
+    df = spark.createDataFrame([(1, f, DAY0 + dt.timedelta(minutes=5 * i), v) for (f, i), v in values.items()], "experiment_id int, fly_id string, bin timestamp_ntz, _mt double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = rolling_states._rolled(df, ("mt",), 12).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(values)
+    for r in got:
+        at = int((r.bin - DAY0).total_seconds() // 300)
+        own = [v for i in range(max(0, at - 11), at + 1) if (v := values[r.fly_id, i]) is not None]
+        mean, sd = math.fsum(own) / len(own) if own else None, None
+        if len(own) > 1:
+            sd = math.sqrt(math.fsum((v - mean) ** 2 for v in own) / (len(own) - 1))
+        assert (r._mt_mean is None) == (mean is None) and (r._mt_sd is None) == (sd is None)
+        assert mean is None or r._mt_mean == pytest.approx(mean, rel=1e-12)
+        assert sd is None or r._mt_sd == pytest.approx(sd, rel=1e-6)
+
+
 def test_forest_and_measures(spark):
     rng = random.Random(1)
     rows = [(i, "x" if i % 2 else "y", (1.0 if i % 2 else -1.0) + rng.gauss(0, 0.2), rng.random()) for i in range(300)]
